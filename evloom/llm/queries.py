@@ -6,7 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import overlaps, unify
+from . import overlaps, truncation, unify
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "calls")).select("delivery_id", "attempt", "field")
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_report(table(spark, d, "calls"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -30,5 +38,5 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("unified").agg(F.countDistinct("text").alias("spellings"), F.count(F.lit(1)).alias("uses"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_per_split, p5_found, p5_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_per_split, p5_found, p5_unified)}
 SQL: dict[str, str] = {}

@@ -102,3 +102,31 @@ def text_keys(hashes: np.ndarray, offsets: np.ndarray) -> pa.Array:
     raw = np.stack([a, b], 1).tobytes()
     n = len(offsets) - 1
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * 16).astype(np.int32).tobytes()), pa.py_buffer(raw)])
+
+
+def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all runs of k words, n + 1 offsets by text); texts of fewer words have none."""
+    count = np.maximum(np.diff(offsets) - k + 1, 0)
+    ends = np.concatenate([[0], np.cumsum(count)])
+    start = np.arange(ends[-1]) - np.repeat(ends[:-1], count) + np.repeat(offsets[:-1], count)
+    return span_hashes(hashes, start, start + k) if len(start) else np.zeros(0, np.uint64), ends
+
+
+def minhash_bands(sh: np.ndarray, offsets: np.ndarray, bands: int = 8, rows: int = 3) -> np.ndarray:
+    """n x bands keys; texts without shingles have keys of no meaning."""
+    n = len(offsets) - 1
+    out = np.zeros((n, bands), np.uint64)
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    if not len(full):
+        return out
+    random = np.random.default_rng(20240229)
+    starts = offsets[:-1][full]
+    with np.errstate(over="ignore"):
+        for b in range(bands):
+            key = np.full(len(full), np.uint64(b + 1))
+            for _ in range(rows):
+                odd = np.uint64(random.integers(1, 1 << 63)) * np.uint64(2) + np.uint64(1)
+                low = np.minimum.reduceat(((sh * odd) >> np.uint64(32)).astype(np.uint32), starts)
+                key = mixed(key * BASE + low)
+            out[full, b] = key
+    return out
