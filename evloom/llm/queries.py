@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import overlaps, truncation, unify
+from . import overlaps, responses, truncation, unify
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -17,6 +17,16 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_report(table(spark, d, "calls"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return responses.defects(table(spark, d, "predictions"), table(spark, d, "action_fields"))
+
+
+def p2_by_model(spark: SparkSession, d: str) -> DataFrame:
+    """Defective responses per model and phase."""
+    of = table(spark, d, "predictions").select("response_id", "model_alias", "phase")
+    return p2_found(spark, d).join(of, "response_id").groupBy("model_alias", "phase", "defect").agg(F.count(F.lit(1)).alias("responses"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.found_pairs(table(spark, d, "families"))
 
@@ -38,5 +48,5 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("unified").agg(F.countDistinct("text").alias("spellings"), F.count(F.lit(1)).alias("uses"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_per_split, p5_found, p5_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_by_model, p3_found, p3_per_split, p5_found, p5_unified)}
 SQL: dict[str, str] = {}
