@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import overlaps, responses, truncation, unify
+from . import garbled, mixing, overlaps, responses, tokens, truncation, unify
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -48,5 +48,28 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("unified").agg(F.countDistinct("text").alias("spellings"), F.count(F.lit(1)).alias("uses"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_by_model, p3_found, p3_per_split, p5_found, p5_unified)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, source, tokens, copies of the mix."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share per source."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.restored(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """How each garbled document was garbled, and its text as far as it can be restored."""
+    return garbled.restored(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_by_model, p3_found, p3_per_split, p5_found, p5_unified, p8_ids, p9_mix, p9_report, p10_found, p10_restored)}
 SQL: dict[str, str] = {}
