@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import garbled, mixing, overlaps, responses, tokens, truncation, unify
+from . import garbled, grouped, mixing, overlaps, responses, tokens, truncation, unify
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +38,22 @@ def p3_per_split(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.overlapping_families(families).join(of, "held_family").groupBy("split", "dataset", "reason").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("held_family").alias("families"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return grouped.groups(table(spark, d, "families"))
+
+
+def p4_assigned(spark: SparkSession, d: str) -> DataFrame:
+    """family_id, split of every family."""
+    return grouped.assign(table(spark, d, "families"), table(spark, d, "split_targets"))
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each split."""
+    targets = table(spark, d, "split_targets")
+    got = p4_assigned(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("families"))
+    return targets.join(got, "split", "left").crossJoin(F.broadcast(got.agg(F.sum("families").alias("all")))).select("split", "share", F.coalesce("families", F.lit(0)).alias("families"), (F.coalesce("families", F.lit(0)) / F.col("all")).alias("actual"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return unify.affected_fields(table(spark, d, "families"))
 
@@ -71,5 +87,5 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.restored(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_by_model, p3_found, p3_per_split, p5_found, p5_unified, p8_ids, p9_mix, p9_report, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_by_model, p3_found, p3_per_split, p4_found, p4_assigned, p4_shares, p5_found, p5_unified, p8_ids, p9_mix, p9_report, p10_found, p10_restored)}
 SQL: dict[str, str] = {}
