@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import nested_queries, record_queries, text_queries
+from . import nested_queries, record_queries, score_queries, text_queries
 
-MODULES = (nested_queries, text_queries, record_queries)
+MODULES = (nested_queries, text_queries, record_queries, score_queries)
 FLAGSHIP = "p7_kept"
 
 

@@ -234,7 +234,12 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame, longest: int = 8) -> DataFr
     if not lengths:
         return docs.select("doc_id", F.lit("").alias("phrase")).limit(0)
     words = F.split("normal", " ")
-    runs = F.array_distinct(F.flatten(F.array(*[F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i, k=k: F.array_join(F.slice(words, i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>")) for k in lengths])))
+
+    def of(k: int):
+        run = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
+        return F.when(F.size(words) >= k, run).otherwise(F.array().cast("array<string>"))
+
+    runs = F.array_distinct(F.flatten(F.array(*map(of, lengths))))
     short = docs.where("normal <> ''").select("doc_id", F.explode(runs).alias("head"))
     hits = short.join(p, "head").select("doc_id", "phrase", "n", "k").distinct()
     long = hits.where("n > k").join(docs, "doc_id").where(T.contains_phrase("normal", "phrase")).select("doc_id", "phrase")
