@@ -61,7 +61,8 @@ def _targets() -> list[str]:
                 pass
     return [
         *map(chr, range(0x80, 0x100)), *EXTENDED, *SIGNS, *map(chr, range(0x386, 0x3CF)), *map(chr, range(0x401, 0x460)), "Ґ", "ґ",
-        *map(chr, range(0x3001, 0x3012)), *map(chr, range(0x3041, 0x30FF)), *map(chr, range(0xFF01, 0xFF60)), *gb, *map(chr, range(0x1F300, 0x1F650)), *map(chr, range(0x1F900, 0x1FA00)), "﻿", "​", "‍", "�",
+        *map(chr, range(0x3001, 0x3012)), *map(chr, range(0x3041, 0x30FF)), *map(chr, range(0xFF01, 0xFF60)), *gb, *map(chr, range(0x1F300, 0x1F650)), *map(chr, range(0x1F900, 0x1FA00)), "\ufeff", "\u200b", "\u200d", "\ufffd",
+        *(_one(b, encoding) for encoding in WRONG for b in range(0x80, 0x100)),  # for what was garbled twice
     ]
 
 
@@ -84,7 +85,17 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def _spans(text: str) -> list[tuple[int, int, str, bool]]:
-    return [(end - n + 1, end + 1, ch, strong) for end, (ch, n, strong) in automaton().iter_long(text)]
+    out = []
+    for end, (ch, n, strong) in automaton().iter_long(text):
+        a, b = end - n + 1, end + 1
+        if not strong:
+            beside = text[max(0, a - 1) : a] + text[b : b + 1]
+            if "Ѐ" <= text[a] <= "ӿ":  # Cyrillic inside a Latin word
+                strong = any(c.isascii() and c.isalpha() for c in beside)
+            else:  # a capital and a sign inside a word of small letters
+                strong = any(c.islower() for c in beside)
+        out.append((a, b, ch, strong))
+    return out
 
 
 def ungarble_utf8(text: str) -> str:
@@ -101,6 +112,8 @@ def ungarble_utf8(text: str) -> str:
     good = [r for r in runs if any(s[3] for s in r) or len(r) > 1]
     if not good:
         return text
+    # beside others, also a weak sequence at the end of a word is one
+    good = [r for r in runs if any(s[3] for s in r) or len(r) > 1 or r[0][0] and text[r[0][0] - 1].isalpha() and not text[r[0][0]].isupper()]
     out, at = [], 0
     for r in good:
         out += [text[at : r[0][0]], *(s[2] for s in r)]
