@@ -93,7 +93,7 @@ def anneal(counts: np.ndarray, start: np.ndarray, target: np.ndarray, seed: int,
     best, least = now.copy(), cost
     if n == 0 or k < 2:
         return best, least
-    heat = max(cost, 1e-9) * 0.1
+    heat = max(cost, 1e-9) * 0.01
     at, to, other, luck = rng.integers(0, n, steps), rng.integers(1, k, steps), rng.integers(0, n, steps), rng.random(steps)
     for i in range(steps):
         x, y = at[i], other[i]
