@@ -35,6 +35,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column | str, body) -> Column:
+    """body of a value that is computed once, however often body names it; inside lambdas the optimizer would repeat it."""
+    return F.get(F.transform(F.array(_c(value)), body), 0)
+
+
 def text(x: Column | str) -> Column:
     """NULL as the empty text."""
     return F.coalesce(_c(x), F.lit(""))
@@ -81,15 +86,13 @@ def contains_phrase(normal_text: Column | str, normal_phrase: Column | str) -> C
 
 
 def contains_any(normal_text: Column | str, answers: Column | str, norm=normal) -> Column:
-    h = _c(normal_text)
-    return F.coalesce(F.exists(_c(answers), lambda a: contains_phrase(h, norm(a))), F.lit(False))
+    return F.coalesce(let(normal_text, lambda h: F.exists(F.transform(_c(answers), norm), lambda n: contains_phrase(h, n))), F.lit(False))
 
 
 def distinct_by(values: Column | str, norm=normal) -> Column:
     """The first spelling of each normal form, in order; empty forms left out."""
     v = _c(values)
-    keys = F.transform(v, norm)
-    return F.filter(v, lambda a, i: (norm(a) != "") & (F.array_position(keys, norm(a)) == i + 1))
+    return let(F.transform(v, norm), lambda keys: F.filter(v, lambda a, i: (F.get(keys, i) != "") & (F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
 def too_long(x: Column | str, chars: int = 80, tokens: int = 12) -> Column:

@@ -48,13 +48,13 @@ def undo_addition(docs: Column, edit: Column) -> Column:
 
 def without_answers(docs: Column, answers: Column) -> Column:
     """docs in which every document that mentions an answer is blank."""
-    return F.transform(
+    return T.let(F.transform(answers, T.normal_answer), lambda names: F.transform(
         docs,
         lambda d: F.when(
-            F.exists(answers, lambda a: T.contains_phrase(T.normal_answer(F.concat_ws(" ", d["title"], d["text"])), T.normal_answer(a))),
+            T.let(T.normal_answer(F.concat_ws(" ", d["title"], d["text"])), lambda h: F.exists(names, lambda n: T.contains_phrase(h, n))),
             F.struct(d["document_id"].alias("document_id"), F.lit("").alias("title"), F.lit("").alias("text")),
         ).otherwise(F.struct(d["document_id"].alias("document_id"), d["title"].alias("title"), d["text"].alias("text"))),
-    )
+    ))
 
 
 def hash_index(seed: Column, offset: Column | int, modulo: int) -> Column:
@@ -111,8 +111,10 @@ def move_month(x: Column) -> Column:
 
 def counterfactual_answer(answer: Column, seed: Column, question: Column) -> Column:
     """Another answer of the same kind and form."""
-    a = F.trim(T.text(answer))
-    kind = T.semantic_type(question, a)
+    return T.let(F.trim(T.text(answer)), lambda a: T.let(T.semantic_type(question, a), lambda kind: _other(a, seed, kind)))
+
+
+def _other(a: Column, seed: Column, kind: Column) -> Column:
     out = F.when(kind == "DATE", move_numbers(move_month(a), F.lit(True))).when(kind == "NUMBER", move_numbers(a, F.lit(False)))
     for k, v in TYPED.items():
         out = out.when(kind == k, v)
@@ -134,6 +136,10 @@ def replace_answers(x: Column, answers: Column, new: Column) -> Column:
 
 
 def counterfactual_evidence(docs: Column, answers: Column, new: Column) -> Column:
+    return T.let(new, lambda n: _replaced(docs, answers, n))
+
+
+def _replaced(docs: Column, answers: Column, new: Column) -> Column:
     return F.transform(docs, lambda d: F.struct(d["document_id"].alias("document_id"), replace_answers(T.text(d["title"]), answers, new).alias("title"), replace_answers(T.text(d["text"]), answers, new).alias("text")))
 
 

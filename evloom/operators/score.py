@@ -14,20 +14,22 @@ def exact_match(prediction: Column, answer: Column, norm=T.normal_answer) -> Col
 
 def alias_match(prediction: Column, answers: Column, norm=T.normal_answer) -> Column:
     """Whether a prediction equals any answer that is not empty."""
-    p = norm(prediction)
-    return F.coalesce(F.exists(answers, lambda a: (norm(a) != "") & (norm(a) == p)), F.lit(False))
+    return F.coalesce(T.let(norm(prediction), lambda p: (p != "") & F.array_contains(F.transform(answers, norm), p)), F.lit(False))
 
 
-def _sorted_counts(tokens: Column) -> Column:
+def _words(tokens: Column) -> Column:
     return F.filter(F.split(tokens, " "), lambda w: w != "")
 
 
 def token_f1(prediction: Column, answer: Column, norm=T.normal_answer) -> Column:
     """F1 of two multisets of words, row-locally; both empty: 1, one empty: 0."""
-    p, a = _sorted_counts(norm(prediction)), _sorted_counts(norm(answer))
-    common = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, w: n + F.least(F.size(F.filter(p, lambda x: x == w)), F.size(F.filter(a, lambda x: x == w))))
-    n = F.size(p) + F.size(a)
-    return F.when(n == 0, 1.0).when(common == 0, 0.0).otherwise(2.0 * common / n)
+
+    def of(p: Column, a: Column) -> Column:
+        common = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, w: n + F.least(F.size(F.filter(p, lambda x: x == w)), F.size(F.filter(a, lambda x: x == w))))
+        n = F.size(p) + F.size(a)
+        return T.let(common, lambda c: F.when(n == 0, 1.0).when(c == 0, 0.0).otherwise(2.0 * c / n))
+
+    return T.let(_words(norm(prediction)), lambda p: T.let(_words(norm(answer)), lambda a: of(p, a)))
 
 
 def best_f1(prediction: Column, answers: Column) -> Column:

@@ -222,28 +222,20 @@ def harvested_ids(spark: SparkSession, d: str) -> DataFrame:
     return ids.where("id <> ''").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def phrase_hits(docs: DataFrame, phrases: DataFrame, longest: int = 8) -> DataFrame:
-    """doc_id, phrase of every normalised phrase that stands in a document: an equi join on runs of words, no nested loop.
+def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """doc_id, phrase of every normalised phrase that stands in a document: equi joins on words and on pairs of words, no nested loop.
 
-    docs: doc_id, normal; phrases: phrase (normalised, not empty). Runs are made of the lengths that phrases have; a phrase of more words than longest is
-    looked up by its first words and then compared whole.
+    docs: doc_id, normal; phrases: phrase (normalised, not empty). A phrase of one word meets the document's words, a longer one its first pair; pairs
+    are rare, also where a single word is in a third of all documents. Phrases of three words and more are then looked for as a whole.
     """
-    p = phrases.select("phrase").distinct().withColumn("n", F.size(F.split("phrase", " ")))
-    p = p.withColumn("k", F.least("n", F.lit(longest))).withColumn("head", F.array_join(F.slice(F.split("phrase", " "), F.lit(1), F.col("k")), " "))
-    lengths = [r["k"] for r in p.select("k").distinct().collect()]  # at most `longest` numbers
-    if not lengths:
-        return docs.select("doc_id", F.lit("").alias("phrase")).limit(0)
-    words = F.split("normal", " ")
-
-    def of(k: int):
-        run = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
-        return F.when(F.size(words) >= k, run).otherwise(F.array().cast("array<string>"))
-
-    runs = F.array_distinct(F.flatten(F.array(*map(of, lengths))))
-    short = docs.where("normal <> ''").select("doc_id", F.explode(runs).alias("head"))
-    hits = short.join(p, "head").select("doc_id", "phrase", "n", "k").distinct()
-    long = hits.where("n > k").join(docs, "doc_id").where(T.contains_phrase("normal", "phrase")).select("doc_id", "phrase")
-    return hits.where("n = k").select("doc_id", "phrase").unionByName(long)
+    p = phrases.select("phrase").distinct().withColumn("words", F.split("phrase", " "))
+    p = p.select("phrase", F.size("words").alias("n"), F.array_join(F.slice("words", 1, 2), " ").alias("head"))
+    words = docs.where("normal <> ''").select("doc_id", F.split("normal", " ").alias("w"))
+    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
+    heads = words.select("doc_id", F.explode(F.array_distinct(F.concat("w", F.array_compact(pairs)))).alias("head"))
+    hits = heads.join(p, "head").select("doc_id", "phrase", "n")
+    long = hits.where("n > 2").join(docs, "doc_id").where(T.contains_phrase("normal", "phrase")).select("doc_id", "phrase")
+    return hits.where("n <= 2").select("doc_id", "phrase").unionByName(long)
 
 
 @query(f"""WITH t AS (SELECT doc_id, {normal_sql('text')} AS n FROM documents), a AS (SELECT DISTINCT {normal_sql('answer')} AS phrase FROM families WHERE {normal_sql('answer')} <> '')
