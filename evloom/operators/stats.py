@@ -20,16 +20,16 @@ def blocks(df: DataFrame, dims: list[str], measures: list[Column]) -> DataFrame:
 
 def macro(df: DataFrame, by: list[str], cluster: str, value: Column) -> DataFrame:
     """Mean of cluster means beside the mean of rows, per group."""
-    each = df.groupBy(*by, cluster).agg(F.avg(value).alias("m"), F.sum(value).alias("s"), F.count(value).alias("n"))
-    return each.groupBy(*by).agg(F.avg("m").alias("macro"), (F.sum("s") / F.sum("n")).alias("micro"), F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("rows"))
+    each = df.groupBy(*by, cluster).agg(F.avg(value).alias("__m"), F.sum(value).alias("__s"), F.count(value).alias("__n"))
+    return each.groupBy(*by).agg(F.avg("__m").alias("macro"), (F.sum("__s") / F.sum("__n")).alias("micro"), F.count(F.lit(1)).alias("clusters"), F.sum("__n").alias("rows"))
 
 
 def paired_delta(df: DataFrame, unit: str, run: str, value: Column, baseline: str) -> DataFrame:
     """Per run against the baseline, over units both have: mean difference, units better and worse."""
-    each = df.groupBy(run, unit).agg(F.avg(value).alias("v"))
-    base = each.where(F.col(run) == baseline).select(unit, F.col("v").alias("b"))
+    each = df.groupBy(run, unit).agg(F.avg(value).alias("__v"))
+    base = each.where(F.col(run) == baseline).select(unit, F.col("__v").alias("__b"))
     both = each.where(F.col(run) != baseline).join(base, unit)
-    return both.groupBy(run).agg(F.avg(F.col("v") - F.col("b")).alias("delta"), F.count_if(F.col("v") > F.col("b")).alias("better"), F.count_if(F.col("v") < F.col("b")).alias("worse"), F.count(F.lit(1)).alias("units"))
+    return both.groupBy(run).agg(F.avg(F.col("__v") - F.col("__b")).alias("delta"), F.count_if(F.col("__v") > F.col("__b")).alias("better"), F.count_if(F.col("__v") < F.col("__b")).alias("worse"), F.count(F.lit(1)).alias("units"))
 
 
 def hash_int(modulo: Column, *parts: Column) -> Column:
@@ -43,8 +43,8 @@ def cluster_bootstrap(df: DataFrame, by: list[str], cluster: str, value: Column,
     Clusters are first summed to (numerator, denominator) and spread over a fixed number of buckets by hash; buckets are what is resampled, so that the
     work is iterations x buckets however many clusters there are. With fewer clusters than buckets, buckets of several clusters are rare.
     """
-    each = df.groupBy(*by, cluster).agg(F.sum(value).alias("num"), F.count(value).alias("den"))
-    units = each.withColumn("bucket", hash_int(F.lit(buckets), F.lit(seed), F.col(cluster))).groupBy(*by, "bucket").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
+    each = df.groupBy(*by, cluster).agg(F.sum(value).alias("__num"), F.count(value).alias("__den"))
+    units = each.withColumn("bucket", hash_int(F.lit(buckets), F.lit(seed), F.col(cluster))).groupBy(*by, "bucket").agg(F.sum("__num").alias("num"), F.sum("__den").alias("den"))
     spark = df.sparkSession
     listed = units.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bucket", "num", "den"))).alias("u"))  # at most `buckets` entries
     draws = listed.crossJoin(F.broadcast(spark.range(iterations).withColumnRenamed("id", "it")))
