@@ -125,7 +125,7 @@ def mix(docs: DataFrame, targets: DataFrame, name: str = TOKENIZER, seed: int =
     wanted = [r.asDict() for r in targets.where("source is not null").select("source", "target_share", "max_repeats").limit(10_000).collect()]
     pool = cut_lineage(candidates(docs, wanted, name))
     plans = plan(pool, wanted, total)
-    ranks = ranked(pool, plans, seed)
+    ranks = cut_lineage(ranked(pool, plans, seed).select("doc_id", "source", "tokens", "whole", "chance", "rank"))
     limit = F.lit(0.0)
     for source, at in thresholds(ranks, plans).items():
         limit = F.when(F.col("source") == source, at).otherwise(limit)
