@@ -135,8 +135,9 @@ def western_cyrillic(text: str) -> str:
     """Windows Cyrillic read as Western: runs of words all of accented letters."""
     run = r"[À-ÿ¸¨]{1,}"
     words = [w for w in re.findall(rf"(?<!\w){run}(?!\w)", text) if len(w) >= 3]
-    if not words:
-        return text
+    signs = sum("\x80" <= c <= "¿" and c not in "¨«»\xa0" for c in text)
+    if not words or signs > 0.1 * sum("À" <= c <= "ÿ" for c in text):
+        return text  # signs between: rather UTF-8 that lost bytes
     decoded = [w.encode("cp1252", "ignore").decode("cp1251", "ignore") for w in words]
     if sum(map(_as_words, decoded)) < 0.8 * len(decoded) or _russian(decoded) < -3.6:
         return text
@@ -159,12 +160,37 @@ def western_chinese(text: str) -> str:
         common = sum(0xB0 <= b <= 0xD7 or 0xA1 <= b <= 0xA3 for b in m[0].encode("cp1252")[::2])
         return got if common == len(got) and any("一" <= c <= "鿿" for c in got) else m[0]
 
+    western = [c for c in text if "\x80" <= c <= "ÿ"]
+    if sum(c in "ÐÑ" for c in western) > 0.25 * len(western):
+        return text  # rather Cyrillic UTF-8 that lost bytes
     out = re.sub(r"(?:[¡-þ]{2}){2,}", back, text)
     if out != text:  # accented letters of names between the ideographs
         out = re.sub(r"¨[¡-¹]", lambda m: m[0].encode("cp1252").decode("gb2312", "replace"), out)
     return out
 
 
+def gbk_of_utf8(text: str) -> str:
+    """UTF-8 read as GBK: runs of ideographs whose GBK bytes are UTF-8 for ideographs, and single ones inside Latin words."""
+
+    def back(m: re.Match) -> str:
+        try:
+            got = m[0].encode("gbk").decode("utf-8", "replace")
+        except UnicodeEncodeError:
+            return m[0]
+        good = sum("\u3000" <= c <= "\u9fff" or "\uff00" <= c <= "\uff60" for c in got)
+        return got if good >= 2 and good >= 0.6 * len(got) else m[0]
+
+    def letter(m: re.Match) -> str:
+        try:
+            got = m[0].encode("gbk").decode("utf-8")
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            return m[0]
+        return got if all("\xc0" <= c <= "\u024f" for c in got) else m[0]
+
+    out = re.sub(r"[\u3000-\u9fff\ue000-\uf8ff\uff00-\uffef€]{3,}", back, text)
+    return re.sub(r"(?<=[A-Za-zÀ-ɏ])[\u4e00-\u9fff]+(?=[a-zß-ɏ])", letter, out)
+
+
 def western_central(text: str) -> str:
     """Central European (Windows 1250, or ISO 8859-2) read as Western: signs inside words."""
     for encoding, sure, likely in (("cp1250", "³¿¹œŸ", "³¿¹œŸêæñó£¯¥Œ"), ("iso8859-2", "³¿±¶¼", "³¿±¶¼êæñó£¯¡¦")):
@@ -219,7 +245,7 @@ def restore(text: str | None) -> tuple[str | None, list[str]]:
         how.append("lost")
     out = text
     covered = sum(b - a for a, b, _, _ in _spans(text)) / sum(c > "\x7f" for c in text)
-    for name, f in (("western_chinese", western_chinese), ("western_cyrillic", western_cyrillic)):
+    for name, f in (("gbk", gbk_of_utf8), ("western_chinese", western_chinese), ("western_cyrillic", western_cyrillic)):
         new = f(out) if covered < 0.35 else out
         if new != out:
             how.append(name)

@@ -140,6 +140,15 @@ def test_single_byte_mixups():
         assert how and done == text
 
 
+def test_utf8_as_gbk():
+    text = "档案中保存着信件、两张地图。 Kánikán大桥于1986年建成"
+    for part in ("档案中保存着信件和地图", "Kánikán was"):
+        seen = part.encode().decode("gbk", "replace").replace("\ufffd", "")
+        assert garbled.restore("x " + seen)[1]
+    assert garbled.restore("x " + "档案中保存着".encode().decode("gbk") + " y") == ("x 档案中保存着 y", ["gbk"])
+    assert garbled.restore(text) == (text, [])
+
+
 @pytest.mark.parametrize("text", ["SÃO PEDRO, A CONCEIÇÃO", "ÂGE D’OR", "Ångström ±0,5 ½ ¾ mc² ££", "naïve café déjà-vu", "﷽ 🙂👩‍🔬 🇫🇷", "АРХИВ ОТКРЫТ ДЛЯ ВСЕХ", "Þórður og Ðáni skráðu sögu", "½ km³ and 5 m³ ¿Qué?", "", None, "   ", "ascii" * 50_000])
 def test_proper_text_stays(text):
     assert garbled.restore(text) == (text, [])
