@@ -187,7 +187,7 @@ def gbk_of_utf8(text: str) -> str:
             return m[0]
         return got if all("\xc0" <= c <= "\u024f" for c in got) else m[0]
 
-    out = re.sub(r"[\u3000-\u9fff\ue000-\uf8ff\uff00-\uffef€]{3,}", back, text)
+    out = re.sub(r"[^\x00-\x7f\ufffd]{3,}", back, text)
     return re.sub(r"(?<=[A-Za-zÀ-ɏ])[\u4e00-\u9fff]+(?=[a-zß-ɏ])", letter, out)
 
 
