@@ -182,19 +182,19 @@ def stopped(text: str) -> bool:
 
 
 def openings(text: str) -> list[str]:
-    """How a text begins, from three words to one; names (runs of capitalised words) and figures masked, the first word also as it is."""
+    """How a text begins, from three words to one; names, dates and figures (runs of capitalised words and numbers) masked, the first word also as it is."""
     raw = re.findall(r"[^\s]+", text[:400])
     out: list[str] = []
     for w in raw:
         bare = w.strip("“”„\"'’.,:;!?()[]«»")
-        m = "9" if bare[:1].isdigit() else "N" if bare[:1].isupper() and out else w.strip("“”„\"(«")
+        m = ("N" if out else "9") if bare[:1].isdigit() else "N" if bare[:1].isupper() and out else w.strip("“”„\"(«")
         if m == "N" and out and out[-1] == "N":
             continue
         out.append(m)
         if len(out) == 5:
             break
     masked = out[:]
-    if raw and raw[0].strip("“”„\"'(«")[:1].isupper():
+    if raw and (raw[0].strip("“”„\"'(«")[:1].isupper() or raw[0][:1].isdigit()):
         masked = ["N", *out[1:]]
         if len(masked) > 1 and masked[1] == "N":
             masked.pop(1)
