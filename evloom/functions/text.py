@@ -151,21 +151,26 @@ def content_words(x: Column | str, stop: list[str] = CONTENT_STOP) -> Column:
 def relation_tags(x: Column | str) -> Column:
     """Relations a text names, in alphabetical order."""
     have = F.split(F.regexp_replace(F.lower(text(x)), r"[^0-9a-zÀ-ž]+", " "), " ")
-    return F.array_compact(F.array(*[F.when(F.arrays_overlap(have, F.array(*[F.lit(w) for w in words])), F.lit(tag)) for tag, words in sorted(RELATIONS.items())]))
+    known = {w: tag for tag, words in RELATIONS.items() for w in words}
+    tag_of = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    named = F.array_intersect(have, F.array(*[F.lit(w) for w in known]))
+    return F.array_sort(F.array_distinct(F.transform(named, lambda w: F.element_at(tag_of, w))))
 
 
 def gapped_mention(normal_text: Column | str, normal_name: Column | str, gap: int = 2) -> Column:
     """Whether the words of a name follow each other in a text with at most gap words between; each word is looked for at its first place, without going back."""
-    hay = F.split(_c(normal_text), " ")
-    name = F.split(_c(normal_name), " ")
-    start = F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok"))
 
-    def step(state: Column, word: Column) -> Column:
-        rest = F.array_position(F.slice(hay, state["at"] + 1, F.greatest(F.size(hay) - state["at"], F.lit(0))), word).cast("int")
-        ok = state["ok"] & (rest > 0) & ((state["at"] == 0) | (rest - 1 <= gap))
-        return F.struct((state["at"] + rest).alias("at"), ok.alias("ok"))
+    def follow(hay: Column, name: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok"))
 
-    return (F.size(name) >= 2) & F.aggregate(name, start, step, lambda s: s["ok"])
+        def step(state: Column, word: Column) -> Column:
+            rest = F.array_position(F.slice(hay, state["at"] + 1, F.greatest(F.size(hay) - state["at"], F.lit(0))), word).cast("int")
+            ok = state["ok"] & (rest > 0) & ((state["at"] == 0) | (rest - 1 <= gap))
+            return F.struct((state["at"] + rest).alias("at"), ok.alias("ok"))
+
+        return (F.size(name) >= 2) & F.aggregate(name, start, step, lambda s: s["ok"])
+
+    return let(F.split(_c(normal_text), " "), lambda hay: let(F.split(_c(normal_name), " "), lambda name: follow(hay, name)))
 
 
 def unfence(x: Column | str) -> Column:
