@@ -88,4 +88,16 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_by_model, p3_found, p3_per_split, p4_found, p4_assigned, p4_shares, p5_found, p5_unified, p8_ids, p9_mix, p9_report, p10_found, p10_restored)}
-SQL: dict[str, str] = {}
+_NOBODY = ", ".join(f"'{x}'" for x in grouped.NOBODY)
+
+SQL: dict[str, str] = {
+    "p4_found": f"""WITH RECURSIVE k AS (SELECT DISTINCT family_id, unnest(list_filter([
+      's:' || nullif(regexp_replace(source_sample_id, '^\\s+|\\s+$', '', 'g'), ''), 'e:' || nullif(regexp_replace(seed_entity, '^\\s+|\\s+$', '', 'g'), ''),
+      CASE WHEN lower(regexp_replace(author, '^[\\s[:punct:]]+|[\\s[:punct:]]+$', '', 'g')) NOT IN ({_NOBODY}) THEN 'a:' || coalesce(dataset, '') || ':' || regexp_replace(author, '^\\s+|\\s+$', '', 'g') END], lambda x: x IS NOT NULL)) AS key
+      FROM families WHERE family_id IS NOT NULL),
+    star AS (SELECT key, min(family_id) AS hub FROM k GROUP BY key), link AS (SELECT DISTINCT family_id AS a, hub AS b FROM k JOIN star USING (key)),
+    both_ AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+    r(start, node) AS (SELECT DISTINCT family_id, family_id FROM k UNION SELECT r.start, both_.b FROM r JOIN both_ ON r.node = both_.a),
+    g AS (SELECT start AS family_id, min(node) AS group_id, count(*) AS n FROM r GROUP BY start)
+    SELECT family_id, group_id FROM g WHERE n > 1""",
+}
