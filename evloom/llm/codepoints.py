@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of text handled at once: arrays by code point take some fifty times as much memory.
+AT_ONCE = 1 << 22
 
 
 def to_codepoints(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -39,3 +45,15 @@ def rows_of(offsets: np.ndarray) -> np.ndarray:
 def keep(cps: np.ndarray, offsets: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Only the code points under mask, with their new offsets."""
     return cps[mask], np.concatenate([[0], np.cumsum(mask)])[offsets]
+
+
+def pieces(batches: Iterable[pa.RecordBatch], at: int, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """Batches cut, without copying, so that column at holds at most so many bytes in each; a longer text is alone."""
+    for b in batches:
+        sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(at)), 0), np.int64))
+        start = 0
+        while start < b.num_rows:
+            base = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, base + most, "right")))
+            yield b.slice(start, end - start)
+            start = end

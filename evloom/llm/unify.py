@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codepoints import keep, rows_of, to_codepoints, to_strings
+from .codepoints import keep, pieces, rows_of, to_codepoints, to_strings
 
 SIZE = 0x110000
 LATIN, CYRILLIC, GREEK = 1, 2, 3
@@ -269,7 +269,7 @@ def unify_column(df: DataFrame, text: str, out: str = "unified", flag: str = "ch
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), f"`{out}` string", f"`{flag}` boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, at):
             done, changed = unify_array(b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns, done, pa.array(changed)], names=[*kept, out, flag])
 

@@ -159,3 +159,16 @@ def test_lost(spark):
     df = spark.createDataFrame([(1, "caf�", "a", 1), (2, None, None, 2), (3, "", "", 3), (1, "cafÃ©", "b", 4)], "doc_id long, text string, how string, rid int")
     assert sorted((r.doc_id, r.how, r.restored) for r in garbled.restored(df).collect()) == [(1, "lost", "caf�"), (1, "utf8", "café")]
     assert garbled.restored(df.limit(0)).count() == 0
+
+
+def test_pieces_cover_all_rows():
+    from evloom.llm.codepoints import pieces
+
+    r = random.Random(9)
+    texts = [r.choice([None, "", "é" * r.randrange(50), "x" * r.randrange(400)]) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(texts)], names=["i", "t"])
+    cut = list(pieces([batch, batch.slice(0, 0)], 1, 256))
+    assert [x for b in cut for x in b.column(1).to_pylist()] == texts and len(cut) > 50
+    whole, flags = unify.unify_array(batch.column(1))
+    assert [x for b in cut for x in unify.unify_array(b.column(1))[0].to_pylist()] == whole.to_pylist() and not flags.any()
+    assert [x for b in cut for x in words.words(b.column(1))[0].tolist()] == words.words(batch.column(1))[0].tolist()
