@@ -137,6 +137,13 @@ def content_word_counts(spark: SparkSession, d: str) -> DataFrame:
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""SELECT w AS word, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(string_split({plain_sql('initial_state.missing_information')}, ' '), lambda w: w <> '' AND w NOT IN {_in_sql(T.SLOT_STOP)}))) AS w FROM families) GROUP BY w""")
+def slot_word_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Words that say what is missing, without those that say nothing of a slot."""
+    w = table(spark, d, "families").select(F.explode(T.content_words("initial_state.missing_information", T.SLOT_STOP)).alias("word"))
+    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
 _TAGS = " UNION ALL ".join(f"SELECT '{tag}' AS tag, '{w}' AS w" for tag, ws in T.RELATIONS.items() for w in ws)
 
 
