@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +59,37 @@ def cluster_bootstrap(df: DataFrame, by: list[str], cluster: str, value: Column,
     ordered = sums.groupBy(*by).agg(F.array_sort(F.collect_list("stat")).alias("s"))
     at = lambda p: F.get("s", F.least(F.size("s") - 1, F.floor(F.size("s") * p).cast("int")))
     return ordered.select(*by, at(0.025).alias("low"), at(0.5).alias("mid"), at(0.975).alias("high"))
+
+
+def whole_cluster_bootstrap(df: DataFrame, by: list[str], cluster: str, value: Column, iterations: int, seed: str, block: int = 500) -> DataFrame:
+    """Percentile interval (2.5, 50, 97.5) of a mean, resampling true clusters, as many as there are, with replacement.
+
+    Clusters of equal (numerator, denominator) are interchangeable: how often a resample takes each such class is one multinomial draw, which has
+    exactly the distribution of drawing cluster by cluster. So the work is iterations x classes. Blocks of iterations have their own seed and run in parallel.
+    """
+    each = df.groupBy(*by, cluster).agg(F.coalesce(F.sum(value), F.lit(0)).cast("double").alias("num"), F.count(value).cast("double").alias("den"))
+    classes = each.groupBy(*by, "num", "den").agg(F.count(F.lit(1)).alias("k"))
+    listed = classes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("num", "den", "k"))).alias("u"))
+    listed = listed.select(*by, F.to_json(F.struct(*by)).alias("__key"), *[F.col(f"u.{c}").alias(c) for c in ("num", "den", "k")])
+    starts = df.sparkSession.range(0, iterations, block).withColumnRenamed("id", "it")
+    blocks_ = listed.crossJoin(F.broadcast(starts)).repartition("it", "__key")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            stats = []
+            for key, it, num, den, k in zip(f["__key"], f["it"], f["num"], f["den"], f["k"]):
+                rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{key}:{it}".encode()).digest()[:16], "big"))
+                n, left, out = int(k.sum()), min(block, iterations - it), []
+                while left:
+                    draws = rng.multinomial(n, k / n, min(left, max(1, 1_000_000 // len(k))))
+                    left -= len(draws)
+                    out.append((draws @ num) / np.where((d := draws @ den) > 0, d, np.nan))
+                x = np.concatenate(out)
+                stats.append(x[~np.isnan(x)])
+            yield f[by].assign(stat=stats)
+
+    kinds = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
+    sums = blocks_.mapInPandas(run, f"{kinds}, stat array<double>")
+    ordered = sums.groupBy(*by).agg(F.array_sort(F.flatten(F.collect_list("stat"))).alias("s"))
+    at = lambda p: F.get("s", F.least(F.size("s") - 1, F.floor(F.size("s") * p).cast("int")))
+    return ordered.select(*by, at(0.025).alias("low"), at(0.5).alias("mid"), at(0.975).alias("high"))

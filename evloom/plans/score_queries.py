@@ -116,6 +116,12 @@ def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return stats.cluster_bootstrap(scored(spark, d), ["model_alias"], "source_sample_id", F.col("correct").cast("int"), 50, "b1")
 
 
+@query()
+def cluster_bootstrap_10000(spark: SparkSession, d: str) -> DataFrame:
+    """The whole job: 10,000 iterations over true clusters. cluster_bootstrap is the same over 50 and hash buckets, beside SQL."""
+    return stats.whole_cluster_bootstrap(scored(spark, d), ["model_alias"], "source_sample_id", F.col("correct").cast("int"), 10_000, "b1")
+
+
 @query(f"""WITH {SCORED}, w AS (SELECT response_id, list_distinct(list_filter(string_split({plain_sql('asked')}, ' '), lambda w: w <> '' AND w NOT IN {_in_sql(T.CONTENT_STOP)})) AS said,
   list_distinct(list_filter(string_split({plain_sql('missing')}, ' '), lambda w: w <> '' AND w NOT IN {_in_sql(T.CONTENT_STOP)})) AS ref FROM sc WHERE asked <> '' AND state = 'MISSING')
 SELECT response_id, CASE WHEN len(ref) > 0 THEN len(list_intersect(ref, said)) / len(ref) END AS recall FROM w""")
@@ -230,6 +236,13 @@ def balanced_split(spark: SparkSession, d: str) -> DataFrame:
     return views.balanced_split(f, "source_sample_id", F.col("stratum"), {"train": 0.8, "dev": 0.1, "test": 0.1}, 20, "s1")
 
 
+@query()
+def balanced_split_5000(spark: SparkSession, d: str) -> DataFrame:
+    """The whole job: the best of 5,000 trials. balanced_split is the search over 20, beside SQL."""
+    f = families(spark, d).select("source_sample_id", F.concat_ws("/", "dataset", F.col("initial_state.state")).alias("stratum"))
+    return views.searched_split(f, "source_sample_id", F.col("stratum"), {"train": 0.8, "dev": 0.1, "test": 0.1}, 5000, "s1")
+
+
 @query("SELECT source_sample_id, count(DISTINCT split) AS splits FROM families GROUP BY source_sample_id HAVING count(DISTINCT split) > 1")
 def split_leaks(spark: SparkSession, d: str) -> DataFrame:
     return views.leaks(table(spark, d, "families"), "source_sample_id")

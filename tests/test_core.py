@@ -1,5 +1,8 @@
 """Core operators on small fixtures: facts, edge cases, brute force."""
 
+import collections
+import hashlib
+import itertools
 import json
 import random
 import zipfile
@@ -317,3 +320,49 @@ def test_core_does_not_need_llm():
     for p in Path(__file__).parent.parent.joinpath("evloom").rglob("*.py"):
         if "/llm/" not in str(p):
             assert "llm" not in p.read_text().replace("evloom.llm is optional", ""), p
+
+
+# whole jobs ---------------------------------------------------------------------------------------------------------
+
+
+def test_whole_cluster_bootstrap_against_all_resamples(spark):
+    """The interval of 10,000 iterations beside the exact distribution: every resample of six clusters."""
+    clusters = {"a": [1, 1, 1], "b": [0], "c": [0, 1], "d": [1], "e": [0, 0, 0, 0], "f": [1]}
+    df = spark.createDataFrame([("x", c, v) for c, vs in clusters.items() for v in vs], "run string, s string, v int")
+    exact = sorted(sum(sum(vs) for vs in r) / sum(map(len, r)) for r in itertools.product(clusters.values(), repeat=6))
+    got = stats.whole_cluster_bootstrap(df, ["run"], "s", F.col("v"), 10_000, "z")
+    for p, x in zip((0.025, 0.5, 0.975), got.first()[1:]):
+        assert exact[int((p - 0.01) * len(exact))] <= x <= exact[min(len(exact) - 1, int((p + 0.01) * len(exact)))]
+    assert got.collect() == stats.whole_cluster_bootstrap(df.repartition(3), ["run"], "s", F.col("v"), 10_000, "z").collect()
+
+
+def test_searched_split_against_plain_loop(spark):
+    rows = [(f"g{i}", "ab"[i * i % 3 % 2]) for i in range(150) for _ in range(1 + i % 3)]
+    got = {r.g: r.split for r in views.searched_split(spark.createDataFrame(rows, "g string, s string"), "g", F.col("s"), {"train": 0.8, "dev": 0.1, "test": 0.1}, 300, "x").collect()}
+    h = {g: int(hashlib.sha256(f"x:{g}".encode()).hexdigest()[:15], 16) for g, _ in rows}
+
+    def dealt(trial):
+        out = {}
+        for g, x in h.items():
+            z = (x + (trial + 1) * 0x9E3779B97F4A7C15) % 2**64
+            z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+            u = ((z ^ z >> 31) >> 11) / 2**53
+            out[g] = "train" if u < 0.8 else "dev" if u < 0.9 else "test"
+        return out
+
+    def error(trial):
+        to, n = dealt(trial), collections.Counter(s for _, s in rows)
+        seen = collections.Counter((s, to[g]) for g, s in rows)
+        return round(sum(((seen[s, k] - n[s] * share) / max(1, n[s] * share)) ** 2 for s in n for k, share in (("train", 0.8), ("dev", 0.1), ("test", 0.1))), 9)
+
+    assert got == dealt(min(range(300), key=lambda t: (error(t), t)))
+
+
+def test_whole_counts_are_registered(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(stats, "whole_cluster_bootstrap", lambda *a: seen.append(a[4]))
+    monkeypatch.setattr(views, "searched_split", lambda *a: seen.append(a[4]))
+    for name in ("cluster_bootstrap_10000", "balanced_split_5000"):
+        catalogue.queries()[name](spark, sf)
+    assert seen == [10_000, 5000]
