@@ -44,6 +44,14 @@ def test_copy_decides(spark):
     assert [(r.delivery_id, r.evidence) for r in got] == [(1, "copy")]
 
 
+def test_every_copy_of_a_bucket_is_tried(spark):
+    """The near-copy that tells is neither the longest text of the suspect's buckets nor one with a stop."""
+    base = "answer: " + " ".join(f"w{i}" for i in range(40))
+    longer = [base + "".join(f" v{j}x{i}" for i in range(30)) + "." for j in range(6)]  # 36 of 66 shingles: in many of its buckets, below 0.8
+    got = truncation.truncated(calls(spark, [[(1, t, None)] for t in [base, base, base + " and so on", *longer]])).collect()
+    assert sorted((r.delivery_id, r.evidence) for r in got) == [(0, "copy"), (1, "copy")]
+
+
 def test_error_kinds(spark):
     stop = [[(1, None, f"StreamError: gate closed the stream. Giving up after {i} tries.")] for i in range(9)]
     cut = [[(1, None, "StreamError: gate closed the str")], [(1, None, "TimeoutError: request timed out after 4 s")]]
