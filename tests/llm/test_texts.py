@@ -52,6 +52,14 @@ def test_every_copy_of_a_bucket_is_tried(spark):
     assert sorted((r.delivery_id, r.evidence) for r in got) == [(0, "copy"), (1, "copy")]
 
 
+def test_closing_words(spark):
+    """Closing words decide where no stop does, by how often they end sentences elsewhere."""
+    told = [[(1, f"The club of N{i} moved to the mill near Paris. The club was in Paris.", None)] for i in range(12)]
+    asked = ["It was built in 1900. It lies in Paris", "In 1999 the club moved to the", "It was built in 1900. It lies near the", "It was built in 1900. It lies in Zoruv", "Paris"]
+    got = {r.delivery_id - 12: r.evidence for r in truncation.truncated(calls(spark, told + [[(1, t, None)] for t in asked])).collect()}
+    assert got == {1: "closing", 2: "closing", 3: "closing"}
+
+
 def test_error_kinds(spark):
     stop = [[(1, None, f"StreamError: gate closed the stream. Giving up after {i} tries.")] for i in range(9)]
     cut = [[(1, None, "StreamError: gate closed the str")], [(1, None, "TimeoutError: request timed out after 4 s")]]
