@@ -152,9 +152,12 @@ def copies(prompt: str, text: str) -> bool:
     own = [tuple(r[i : i + 5]) for i in range(len(r) - 4)]
     if own and runs and sum(x in runs for x in own) >= 0.8 * len(own) and len(set(own) & runs) >= 0.8 * len(runs):
         return True
-    if len(r) > 1.5 * len(q):
-        r = r[: len(q) + 2] if inside >= 0.8 else r
-    return subsequence(r, q) >= 0.65 * max(len(q), len(r))
+    if len(r) <= 1.5 * len(q):
+        return subsequence(r, q) >= 0.65 * max(len(q), len(r))
+    # given back several times: every time must be a copy, a last one that breaks off of the beginning; the sum is over the whole response
+    parts = [r[i : i + len(q)] for i in range(0, len(r), len(q))]
+    same = [subsequence(x, q[: len(x) + 2]) for x in parts]
+    return sum(same) >= 0.65 * len(r) and all(n >= 0.65 * len(x) for n, x in zip(same, parts) if len(x) >= 0.5 * len(q))
 
 
 def language(text: str) -> tuple[str | None, Counter]:

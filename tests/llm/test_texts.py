@@ -90,6 +90,13 @@ def test_defects(spark):
     assert responses.defects(df.limit(0), fields).count() == 0
 
 
+def test_copies_takes_the_whole_response():
+    q = "Of A and B, which is the older paper mill, and what was its opening year?"
+    assert not responses.copies(q, "Of A and B, which is the older paper mill, and what was its opening year? The older paper mill is B and its opening year was 1950")
+    assert not responses.copies(q, q + " The older paper mill is B and its opening year was 1950, and what was A")
+    assert responses.copies(q, q + " " + q.replace("older", "oldr").replace("its ", "") + " " + q) and responses.copies(q, "Question: " + q.replace("paper", "papr")) and responses.copies(q, q)
+
+
 def test_unify_is_nfc_of_marks():
     r = random.Random(3)
     texts = ["".join(r.choice("aeoucnAEÄöd가ᄀq") + "".join(r.choice("̧̣̱̀́̂̃̈̌ᅡᆨ") for _ in range(r.choice([0, 1, 1, 2, 3]))) for _ in range(4)) for _ in range(3000)]
