@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .unify import unify_array
 
 API_ERROR = "__API_ERROR__"
-#: A kind of opening counts if at least this part of all responses (and three) has it: the table is bounded by its inverse.
-KNOWN_OPENING = 1e-4
+#: A kind of opening counts if at least so many responses have it, however large the table.
+KNOWN_OPENING = 3
 #: Stand-ins for nothing, without case and punctuation.
 NOTHING = frozenset(("", "na", "n a", "null", "none", "nil", "nan", "empty", "blank", "undefined", "no answer", "no content", "no response", "not available", "not applicable", "no answer given"))
 #: How refusals are worded; * stands for a subject.
@@ -244,8 +245,8 @@ def contents(predictions: DataFrame, fields: DataFrame) -> DataFrame:
     return rows.select("response_id", F.coalesce("query", F.lit("")).alias("query"), F.coalesce(F.when(p.isNotNull(), content).otherwise(F.col("raw_response")), F.lit("")).alias("content"), p.isNull().alias("raw"))
 
 
-def opening_rates(rows: DataFrame) -> dict[str, float]:
-    """The part of responses that end with a stop, by kind of opening; counted over all responses, kept for frequent kinds only."""
+def opening_rates(rows: DataFrame) -> DataFrame:
+    """kind, rate: the part of responses that end with a stop, by kind of opening; counted over all responses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
@@ -253,7 +254,7 @@ def opening_rates(rows: DataFrame) -> dict[str, float]:
         for b in batches:
             for text in b.column(0).to_pylist():
                 s = stopped(text)
-                for k in ["", *openings(text)]:
+                for k in openings(text):
                     n[k] += 1
                     ends[k] += s
             if len(n) > 200_000:
@@ -263,47 +264,50 @@ def opening_rates(rows: DataFrame) -> dict[str, float]:
             yield pa.RecordBatch.from_pydict({"kind": list(n), "n": list(n.values()), "ends": [ends[k] for k in n]})
 
     counts = rows.select("content").mapInArrow(run, "kind string, n long, ends long").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
-    whole = rows.count()
-    kept = counts.where(F.col("n") >= max(3, KNOWN_OPENING * whole)).collect()
-    return {r["kind"]: r["ends"] / r["n"] for r in kept if r["kind"]}
+    return counts.where(F.col("n") >= KNOWN_OPENING).select("kind", (F.col("ends") / F.col("n")).alias("rate"))
 
 
-def defect_of(prompt: str, text: str, raw: bool, rates: dict[str, float]) -> str | None:
+def defect_of(prompt: str, text: str, raw: bool) -> tuple[str | None, list[str] | None]:
+    """The defect, and of a text without final stop that has none by itself its kinds of openings: their rates decide."""
     if raw:
         broken = unclosed_json(text)
         if broken:
-            return "truncated"
+            return "truncated", None
         inner = json_content(text) if broken is False else None
         text = text if inner is None else inner
     if is_empty(text):
-        return "empty"
+        return "empty", None
     if is_refusal(text):
-        return "refusal"
+        return "refusal", None
     if copies(prompt, text):
-        return "copies_question"
+        return "copies_question", None
     if other_language(prompt, text):
-        return "other_language"
+        return "other_language", None
     if not stopped(text):
         if text.rstrip().endswith(("�", "\\")):
-            return "truncated"
+            return "truncated", None
         if any(w[:1].islower() for w in tokens(text)):
-            known = next((rates[k] for k in openings(text) if k in rates), None)
-            if known is not None and known >= 0.5:
-                return "truncated"
-    return None
+            return None, openings(text)
+    return None, None
 
 
 def defects(predictions: DataFrame, fields: DataFrame) -> DataFrame:
     """response_id, defect of every unusable response."""
     rows = contents(predictions, fields)
-    rates = rows.sparkSession.sparkContext.broadcast(opening_rates(rows))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             prompts = unify_array(pa.array(f["query"], pa.string()))[0].to_pylist()
             texts = unify_array(pa.array(f["content"], pa.string()))[0].to_pylist()
-            kinds = [defect_of(q, t, r, rates.value) for q, t, r in zip(prompts, texts, f["raw"])]
-            out = pd.DataFrame({"response_id": f["response_id"], "defect": pd.Series(kinds, index=f.index, dtype=object)})
-            yield out[out["defect"].notna()]
-
-    return rows.mapInPandas(run, "response_id long, defect string")
+            told = [defect_of(q, t, r) for q, t, r in zip(prompts, texts, f["raw"])]
+            kinds, asked = [k for k, _ in told], ["\n".join(o) if o else None for _, o in told]
+            out = pd.DataFrame({"response_id": f["response_id"], "defect": pd.Series(kinds, index=f.index, dtype=object), "openings": pd.Series(asked, index=f.index, dtype=object)})
+            yield out[out["defect"].notna() | out["openings"].notna()]
+
+    read = cut_lineage(rows.mapInPandas(run, "response_id long, defect string, openings string"))
+    # each list of openings once: the longest opening that is known decides
+    asked = read.where("openings is not null").select("openings").distinct()
+    kinds = asked.select("openings", F.posexplode(F.split("openings", "\n")).alias("k", "kind"))
+    cut = kinds.join(opening_rates(rows), "kind").groupBy("openings").agg(F.min_by("rate", "k").alias("rate")).where("rate >= 0.5").select("openings")
+    told = read.where("defect is not null").select("response_id", "defect")
+    return told.unionByName(read.join(cut, "openings", "left_semi").select("response_id", F.lit("truncated").alias("defect")))

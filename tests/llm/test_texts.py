@@ -90,6 +90,16 @@ def test_defects(spark):
     assert responses.defects(df.limit(0), fields).count() == 0
 
 
+def test_rare_openings_count_at_every_size(spark):
+    """Three responses tell how an opening ends, also among very many others."""
+    stopped = ["Jak wynika ze spisu, to N."] * 3
+    rows = [(i, "q", "r", ("ANSWER", t, None, "r")) for i, t in enumerate([*stopped, "Jak wynika ze spi"])]
+    other = spark.range(10, 60_010).selectExpr("id AS response_id", "'q' AS query", "'r' AS raw_response", "named_struct('action', 'ANSWER', 'answer', 'Zoru', 'clarification', CAST(NULL AS string), 'reason', 'r') AS parsed")
+    df = spark.createDataFrame(rows, "response_id long, query string, raw_response string, parsed struct<action string, answer string, clarification string, reason string>").unionByName(other)
+    fields = spark.createDataFrame([("ANSWER", "answer")], "action string, content_field string")
+    assert [tuple(r) for r in responses.defects(df, fields).collect()] == [(3, "truncated")]
+
+
 def test_copies_takes_the_whole_response():
     q = "Of A and B, which is the older paper mill, and what was its opening year?"
     assert not responses.copies(q, "Of A and B, which is the older paper mill, and what was its opening year? The older paper mill is B and its opening year was 1950")
