@@ -5,7 +5,8 @@ own fields in key order, with child objects replaced by their identities. Equal
 are stored once (`objects`); every occurrence stays as a bridge row (`occurrences`) with its parent, field and ordinal.
 
 Parsing needs Python (shapes vary from record to record); it runs batchwise over Arrow, one pass, and the rest is JVM.
-Typed nested columns (structs and arrays of a Parquet table) are flattened by JVM generators alone.
+Typed nested columns (structs and arrays of a Parquet table) are flattened by JVM generators alone; they have no Merkle
+identities: a request body has one hash over the whole of it, attempts, evidence and edits are rows by parent and position.
 
 Defined results: NULL, blank or invalid JSON, or JSON nested beyond the parser's depth gives no rows; a field that is
 absent or null, and an empty list, give no rows; a null or scalar element keeps its position and gives no row; of a key
@@ -147,6 +148,24 @@ def request_bodies(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     return distinct, held.select("delivery_id", "body_id")
 
 
+def request_objects(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """calls.request_body as (bodies, lists, bridge): every field of a distinct body under body_id; elements of its lists by position, also NULL ones; the delivery that holds each.
+
+    A list that is NULL, and one that is empty, have no elements; bodies tells them apart by the lists' lengths.
+    """
+    held = calls.where("request_body is not null").select("delivery_id", F.col("request_body").alias("b")).withColumn("body_id", F.sha2(F.to_json("b"), 256))
+    distinct = held.groupBy("body_id").agg(F.first("b").alias("b"), F.count(F.lit(1)).alias("deliveries"))
+    schema = F.col("b.response_format.json_schema")
+    length = lambda x: F.when(x.isNotNull(), F.size(x))
+    bodies = distinct.select(
+        "body_id", "deliveries", F.col("b.temperature").alias("temperature"), F.col("b.top_p").alias("top_p"), F.col("b.max_tokens").alias("max_tokens"), F.col("b.seed").alias("seed"),
+        length(F.col("b.stop")).alias("stop_length"), F.col("b.chat_template_kwargs.enable_thinking").alias("enable_thinking"), F.col("b.chat_template_kwargs.thinking_budget").alias("thinking_budget"),
+        F.col("b.response_format.type").alias("format_type"), schema["name"].alias("schema_name"), schema["strict"].alias("strict"), length(schema["required"]).alias("required_length"))
+    lists = [distinct.select("body_id", F.lit(n).alias("list"), F.posexplode(x).alias("pos", "element")) for n, x in (("stop", F.col("b.stop")), ("required", schema["required"]))]
+    elements = lists[0].unionByName(lists[1]).select("body_id", "list", (F.col("pos") + 1).alias("ordinal"), "element")
+    return bodies, elements, held.select("delivery_id", "body_id")
+
+
 def evidence_table(families: DataFrame, state: str = "initial_state") -> DataFrame:
     """Evidence documents of a state, keyed by ord (the export), family_id and position."""
     return families.select("ord", "family_id", F.posexplode(f"{state}.evidence").alias("pos", "e")).where("e is not null").select(

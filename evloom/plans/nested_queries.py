@@ -93,6 +93,21 @@ def p6_request_bridge(spark: SparkSession, d: str) -> DataFrame:
     return bridge.groupBy("body_id").agg(F.count(F.lit(1)).alias("deliveries")).groupBy("deliveries").agg(F.count(F.lit(1)).alias("bodies"))
 
 
+def p6_request_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct request bodies with all their fields, by body_id."""
+    return nested.request_objects(table(spark, d, "calls"))[0]
+
+
+def p6_request_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Elements of stop and required, by body_id and position."""
+    return nested.request_objects(table(spark, d, "calls"))[1]
+
+
+def p6_request_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """The body of every delivery."""
+    return nested.request_objects(table(spark, d, "calls"))[2]
+
+
 def p6_evidence(spark: SparkSession, d: str) -> DataFrame:
     return nested.evidence_table(table(spark, d, "families"))
 
@@ -101,7 +116,7 @@ def p6_edits(spark: SparkSession, d: str) -> DataFrame:
     return nested.states_table(table(spark, d, "families"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_objects, p6_bridge, p6_entity_counts, p6_attempts, p6_structural_errors, p6_request_bodies, p6_request_bridge, p6_evidence, p6_edits, p7_found, p7_kept, p7_per_batch)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_objects, p6_bridge, p6_entity_counts, p6_attempts, p6_structural_errors, p6_request_bodies, p6_request_bridge, p6_request_objects, p6_request_lists, p6_request_deliveries, p6_evidence, p6_edits, p7_found, p7_kept, p7_per_batch)}
 
 SQL = {
     "p7_found": _P7 + "SELECT delivery_id FROM r WHERE again",

@@ -366,3 +366,20 @@ def test_whole_counts_are_registered(spark, sf, monkeypatch):
     for name in ("cluster_bootstrap_10000", "balanced_split_5000"):
         catalogue.queries()[name](spark, sf)
     assert seen == [10_000, 5000]
+
+
+def test_request_objects_give_the_bodies_back(spark):
+    """The three tables rebuild the request body of every delivery."""
+    kind = """delivery_id long, request_body struct<temperature double, top_p double, max_tokens int, seed int, stop array<string>, chat_template_kwargs struct<enable_thinking boolean, thinking_budget int>,
+        response_format struct<type string, json_schema struct<name string, strict boolean, required array<string>>>>"""
+    body = lambda stop, strict, required: (0.5, None, 9, 1, stop, (True, None), ("json", ("s", strict, required)))
+    rows = [body(["a|b", None], True, ["x"]), body(["a", "b"], True, ["x"]), body(["a|b"], True, ["x"]), body([], True, None), body(None, True, []), body(None, False, []), body(None, False, []), None]
+    bodies, lists, bridge = (x.collect() for x in nested.request_objects(spark.createDataFrame(list(enumerate(rows)), kind)))
+    of, by = dict(map(tuple, bridge)), {r.body_id: r for r in bodies}
+    assert set(of) == set(range(7)) and len(by) == 6 and by[of[5]].deliveries == 2
+    elements = collections.defaultdict(list)
+    for r in sorted(lists, key=lambda r: r.ordinal):
+        elements[r.body_id, r.list].append(r.element)
+    for i, row in enumerate(rows[:7]):
+        b, at = by[of[i]], lambda n: None if b[f"{n}_length"] is None else elements[b.body_id, n]  # noqa: B023
+        assert (b.temperature, b.top_p, b.max_tokens, b.seed, at("stop"), (b.enable_thinking, b.thinking_budget), (b.format_type, (b.schema_name, b.strict, at("required")))) == row
