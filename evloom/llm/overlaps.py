@@ -221,16 +221,21 @@ def light_edit(a: str, b: str, share) -> bool:
     right = list((Counter(map(tuple, y)) - both).elements())
     alone = 0
     kept = sum(both.values())
-    if not kept and len(x) + len(y) > 8 or max(len(left), len(right)) > 4 + 2 * kept:
-        return False  # most sentences differ: no light edit, whatever they are
+    # too many sentences stay alone even if all that are left find a counterpart
+    lost = lambda: 2 * alone + len_right - len(left) > max(2, kept + len(left) - alone)
+    len_right = len(right)
+    if lost():
+        return False
     for s in left:
         best, k = 0.0, -1
         for j, r in enumerate(right):
-            m = SequenceMatcher(None, s, r, autojunk=len(s) * len(r) > 1_000_000)
+            m = SequenceMatcher(None, s, r, autojunk=False)
             if m.real_quick_ratio() > best and m.quick_ratio() > max(best, 0.5):
                 best, k = max((best, k), (m.ratio(), j))
         if best < 0.55:
             alone += 1
+            if lost():
+                return False
             continue
         if not _same_statement(list(s), list(right[k]), share, len(x) > 2):
             return False

@@ -175,3 +175,21 @@ def test_light_edit(a, b, same):
     common = {"the", "mill", "was", "sold", "in", "to", "it", "opened", "of", "that", "year", "there", "june", "july"}
     assert overlaps.light_edit(a, b, lambda w: 0.5 if w in common else 0.0001) is same
     assert re.match("", a)
+
+
+def test_light_edit_of_every_sentence():
+    """A slip in each of five sentences leaves no sentence identical, and is still a light edit."""
+    common = set("the mill was sold in to archive moved from ticket kept by council after flood opened near river station".split())
+    a = "The mill was sold to the council. The archive was moved from the station. The ticket was kept by the council. The station opened near the river. The mill opened after the flood."
+    b = "The mlil was sold to the council. The archve was moved from the station. The tickt was kept by the council. The staton opened near the river. The mill opend after the flood."
+    share = lambda w: 0.5 if w in common else 0.0001
+    assert overlaps.light_edit(a, b, share)
+    assert not overlaps.light_edit(a.replace("river", "Belkatuno"), b.replace("river", "Zorumavi"), share)
+    assert not overlaps.light_edit(a, " ".join(f"Nothing of number {i} is told here." for i in range(30)), share)
+
+
+def test_long_sentences_align_whole():
+    """Words of a very long sentence that come often are no junk."""
+    r = random.Random(3)
+    s = [r.choice(["mill", "river", "stone", "archive"]) + r.choice(["", "s"]) for _ in range(1100)]
+    assert overlaps.light_edit(" ".join(s), " ".join([*s[:500], "stnoe", *s[501:]]) + " x", lambda w: 0.5 if w != "x" else 0.0001)
