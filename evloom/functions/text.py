@@ -1,18 +1,15 @@
-"""Scalar text functions, Column to Column, inside the JVM; only full compatibility normalisation goes through Arrow.
+"""Scalar text functions, Column to Column, inside the JVM.
 
-Letters are compared by `fold`: lower case with sharp s as ss and one sigma. It differs from full compatibility folding on
-full-width forms, ligatures and the like, for which `nfkc_fold` exists. NULL gives NULL unless said otherwise.
+Letters are compared by full case folding, phrases and answers also in compatibility composition (NFKC). Both are static methods of the ICU library
+that Spark ships for its collations; only texts beyond ASCII are handed to it. Spark takes a method called by reflection for nondeterministic: such
+columns are projected before they are grouped by, aggregated or joined on. NULL gives NULL unless said otherwise.
 """
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql import types as t
 
 #: Function words left out of content words.
 CONTENT_STOP = "a an the of to in on for and or is was were be been being this that these those it its his her their with as at by from which who whom what when where how did does do not no".split()
@@ -30,6 +27,16 @@ ABSTAIN = ["cannot answer", "can't answer", "insufficient", "not enough informat
 #: Names of months.
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
 
+#: Words of questions that ask for a person.
+PERSON_WORDS = ["who", "whom", "whose"]
+#: Phrases of questions that ask for other kinds, in the order in which they are tried.
+QUESTION_PHRASES = {
+    "LANGUAGE_OR_NATIONALITY": ["language", "nationality"],
+    "LOCATION": ["which country", "what country", "which city", "what city", "where ", " location", "which place", "what place"],
+    "ORGANIZATION": ["political party", "organization", "organisation", "association", "community", "company", "institution", "university"],
+    "WORK": ["film", "movie", "album", "book", "novel", "song", "television", "show", "series", "game"],
+}
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -45,16 +52,19 @@ def text(x: Column | str) -> Column:
     return F.coalesce(_c(x), F.lit(""))
 
 
+def _icu(kind: str, method: str, x: Column) -> Column:
+    return F.call_function("java_method", F.lit(f"com.ibm.icu.{kind}"), F.lit(method), x, F.lit(True))
+
+
 def fold(x: Column | str) -> Column:
-    """Lower case for comparing."""
-    lowered = F.lower(F.replace(text(x), F.lit("Σ"), F.lit("σ")))
-    return F.replace(F.replace(lowered, F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Full case folding; NULL as the empty text."""
+    return let(text(x), lambda v: F.when(v.rlike(r"[^\x00-\x7f]"), _icu("lang.UCharacter", "foldCase", v)).otherwise(F.lower(v)))
 
 
-@pandas_udf(StringType())
-def nfkc_fold(x: pd.Series) -> pd.Series:
-    """Full compatibility composition and case folding; NULL as the empty text."""
-    return x.map(lambda t: unicodedata.normalize("NFKC", t).casefold() if t else "")
+def compat_fold(x: Column | str) -> Column:
+    """Compatibility composition, then full case folding; NULL as the empty text."""
+    folded = lambda v: _icu("lang.UCharacter", "foldCase", _icu("text.Normalizer", "compose", v))
+    return let(text(x), lambda v: F.when(v.rlike(r"[^\x00-\x7f]"), folded(v)).otherwise(F.lower(v)))
 
 
 def words_only(folded: Column | str) -> Column:
@@ -63,13 +73,13 @@ def words_only(folded: Column | str) -> Column:
 
 
 def normal(x: Column | str) -> Column:
-    """For phrases: case, punctuation and spacing levelled; articles and underscores stay."""
-    return words_only(fold(x))
+    """For phrases: case, compatibility forms, punctuation and spacing levelled; articles and underscores stay."""
+    return words_only(compat_fold(x))
 
 
 def normal_answer(x: Column | str) -> Column:
     """For answers: also commas between figures and apostrophes dropped, signs as blanks, articles dropped."""
-    t = F.regexp_replace(F.regexp_replace(fold(x), r"(\d),(?=\d)", "$1"), "['’]", "")
+    t = F.regexp_replace(F.regexp_replace(compat_fold(x), r"(\d),(?=\d)", "$1"), "['’]", "")
     t = F.trim(F.regexp_replace(F.regexp_replace(t, r"[\p{P}\p{S}]", " "), r"[\s\p{Z}]+", " "))
     return F.array_join(F.filter(F.split(t, " "), lambda w: ~w.isin("a", "an", "the", "")), " ")
 
@@ -140,8 +150,8 @@ def body_of(x: Column | str) -> Column:
 
 
 def references(x: Column | str) -> Column:
-    """The distinct numbers of #n marks, ascending."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text(x), F.lit(r"#(\d{1,9})"), F.lit(1)), lambda n: n.cast("int"))))
+    """The distinct numbers of #n marks, ascending; numbers beyond 38 figures are none."""
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all(text(x), F.lit(r"#(\d+)"), F.lit(1)), lambda n: n.try_cast("decimal(38,0)")))))
 
 
 def content_words(x: Column | str, stop: list[str] = CONTENT_STOP) -> Column:
@@ -226,24 +236,42 @@ def compact_evidence(docs: Column | str) -> Column:
     return F.transform(_c(docs), lambda d: F.struct(d["document_id"].alias("document_id"), d["title"].alias("title"), d["text"].alias("text")))
 
 
-def request_hash(*fields: Column) -> Column:
-    """SHA-256 of the fields as JSON, sorted by name by the caller."""
-    return F.sha2(F.to_json(F.struct(*fields)), 256)
+def json_text(x: Column) -> Column:
+    """A text as JSON writes it, in quotation marks."""
+    return let(F.to_json(F.array(x)), lambda j: F.substring(j, F.lit(2), F.length(j) - 2))
+
+
+def canonical_json(x: Column, kind: t.DataType) -> Column:
+    """A value of a nested type as compact JSON with the keys in order at every level; NULL fields stay, as null."""
+    if isinstance(kind, t.StructType):
+        fields = [F.concat(F.lit(f'"{f.name}":'), canonical_json(x[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        out = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    elif isinstance(kind, t.ArrayType):
+        out = F.concat(F.lit("["), F.array_join(F.transform(x, lambda v: canonical_json(v, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, t.StringType):
+        out = json_text(x)
+    else:
+        out = x.cast("string")
+    return F.coalesce(F.when(x.isNotNull(), out), F.lit("null"))
+
+
+def request_hash(x: Column, kind: t.StructType) -> Column:
+    """SHA-256 of the canonical JSON of a request."""
+    return F.sha2(canonical_json(x, kind), 256)
 
 
 def semantic_type(question: Column | str, answer: Column | str) -> Column:
-    """What kind of thing an answer is, from its form and the question's words; the first that fits."""
-    q, a = normal_answer(question), text(answer)
-    has = lambda *w: F.exists(F.array(*[F.lit(x) for x in w]), lambda x: F.contains(q, x))
-    tokens = F.split(q, " ")
-    return (
-        F.when(a.rlike(r"(^|[^\p{L}\p{N}_])(1[0-9]{3}|20[0-9]{2})([^\p{L}\p{N}_]|$)") | F.lower(a).rlike("|".join(m.lower() for m in MONTHS)), "DATE")
-        .when(F.trim(a).rlike(r"^[+-]?\d[\d.,]*(\s*%|\s+[A-Za-z]+)?$"), "NUMBER")
-        .when(F.arrays_overlap(tokens, F.array(F.lit("who"), F.lit("whom"), F.lit("whose"))), "PERSON")
-        .when(has("language", "nationality"), "LANGUAGE_OR_NATIONALITY")
-        .when(has("which country", "what country", "which city", "what city", "where ", " location", "which place", "what place"), "LOCATION")
-        .when(has("political party", "organization", "organisation", "association", "community", "company", "institution", "university"), "ORGANIZATION")
-        .when(has("film", "movie", "album", "book", "novel", "song", "television", "show", "series", "game"), "WORK")
-        .when(normal_answer(a).isin("yes", "no"), "BOOLEAN")
-        .otherwise("OTHER")
-    )
+    """What kind of thing an answer is, from its form and the question's words; the first kind that fits."""
+
+    def of(q: Column, a: Column) -> Column:
+        words, named = F.split(q, " "), lambda w: F.contains(q, F.lit(w))
+        dated = a.rlike(r"(^|[^\p{L}\p{N}_])(1[0-9]{3}|20[0-9]{2})([^\p{L}\p{N}_]|$)") | F.lower(a).rlike("|".join(m.lower() for m in MONTHS))
+        signs = {"DATE": dated, "NUMBER": F.trim(a).rlike(r"^[+-]?\d[\d.,]*(\s*%|\s+[A-Za-z]+)?$"), "PERSON": F.arrays_overlap(words, F.array(*[F.lit(w) for w in PERSON_WORDS]))}
+        signs |= {kind: F.exists(F.array(*[F.lit(p) for p in phrases]), named) for kind, phrases in QUESTION_PHRASES.items()}
+        signs |= {"BOOLEAN": normal_answer(a).isin("yes", "no")}
+        out = F.lit("OTHER")
+        for kind, sign in reversed(signs.items()):
+            out = F.when(sign, F.lit(kind)).otherwise(out)
+        return out
+
+    return let(normal_answer(question), lambda q: let(text(answer), lambda a: of(q, a)))

@@ -80,13 +80,13 @@ def pseudo_words(answer: Column, seed: Column) -> Column:
 def moved_number(token: Column, date: Column) -> Column:
     """One number changed: thousands and decimals keep their form; in dates years move within two centuries and days within a month."""
     plain = token.rlike(r"^\d+$")
-    n = F.when(plain & (F.length(token) <= 15), token.cast("long"))
-    whole = F.regexp_extract(token, r"^(\d+)", 1).cast("long")
+    n = F.when(plain, token.try_cast("decimal(37,0)"))
+    whole = F.regexp_extract(token, r"^(\d+)", 1).try_cast("decimal(37,0)")
     return (
-        F.when(token.rlike(r"^\d+,\d{3}$"), F.format_number(F.replace(token, F.lit(","), F.lit("")).cast("long") + 7, 0))
-        .when(token.rlike(r"[.,]"), F.concat((whole + 7).cast("string"), F.regexp_extract(token, r"^\d+(.*)$", 1)))
-        .when(date & n.between(1000, 2099), (F.pmod(n - 1883, F.lit(200)) + 1900).cast("string"))
-        .when(date & n.between(1, 31), ((n + 7) % 28 + 1).cast("string"))
+        F.when(token.rlike(r"^\d+,\d{3}$"), F.coalesce(F.format_number(F.replace(token, F.lit(","), F.lit("")).try_cast("decimal(37,0)") + 7, 0), token))
+        .when(token.rlike(r"[.,]"), F.coalesce(F.concat((whole + 7).cast("string"), F.regexp_extract(token, r"^\d+(.*)$", 1)), token))
+        .when(date & n.between(1000, 2099), (F.pmod(n.cast("long") - 1883, F.lit(200)) + 1900).cast("string"))
+        .when(date & n.between(1, 31), ((n.cast("long") + 7) % 28 + 1).cast("string"))
         .otherwise(F.coalesce((n + 7).cast("string"), token))
     )
 
@@ -154,11 +154,11 @@ def counterfactual_error(before: Column, after: Column, answers: Column, new: Co
 
 
 def shifted_last_number(x: Column) -> Column:
-    """The last year three on, else the last number seven on; the first place where it is written is replaced."""
+    """The last year three on, else the last number seven on; the first place where it is written is replaced. NULL without a number, or for one beyond 37 figures."""
     years = F.regexp_extract_all(x, F.lit(r"\b(1[0-9]{3}|20[0-9]{2})\b"), F.lit(1))
-    numbers = F.regexp_extract_all(x, F.lit(r"(\d{1,15})"), F.lit(1))
+    numbers = F.regexp_extract_all(x, F.lit(r"(\d+)"), F.lit(1))
     year, number = F.try_element_at(years, F.lit(-1)), F.try_element_at(numbers, F.lit(-1))
     old = F.coalesce(year, number)
-    new = F.when(year.isNotNull(), (year.cast("long") + 3).cast("string")).otherwise((number.cast("long") + 7).cast("string"))
+    new = F.when(year.isNotNull(), (year.cast("long") + 3).cast("string")).otherwise((number.try_cast("decimal(37,0)") + 7).cast("string"))
     at = F.position(old, x)
-    return F.when(old.isNotNull(), F.concat(F.substring(x, F.lit(1), at - 1), new, F.substring(x, at + F.length(old), F.length(x))))
+    return F.when(new.isNotNull(), F.concat(F.substring(x, F.lit(1), at - 1), new, F.substring(x, at + F.length(old), F.length(x))))

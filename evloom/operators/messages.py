@@ -53,6 +53,19 @@ def repeated_deliveries(df: DataFrame, keys: dict[str, Column], order: list[str]
 
 
 def exactly_once(df: DataFrame, keys: dict[str, Column], order: list[str], id_col: str) -> DataFrame:
-    """df without repeated deliveries; all its columns and rows with missing keys stay."""
-    gone = repeated_deliveries(df, keys, order, id_col)
-    return df.join(gone, id_col, "left_anti")
+    """df with one row per message; all its columns, and every row with missing keys, stay.
+
+    One scan and one aggregation, the smallest struct of (order, id_col, the other columns): rows that repeat a delivery under the same id are told
+    apart by their other columns, and of rows equal in all columns one stays. Columns that have no order (maps) are carried, but do not decide.
+    """
+    cols = [c.alias(_KEY.format(i)) for i, c in enumerate(keys.values())]
+    names = [_KEY.format(i) for i in range(len(cols))]
+    lone = F.when(~F.least(*[F.col(n).isNotNull() for n in names], F.lit(True)), F.monotonically_increasing_id())
+    ordered = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    first = F.struct(*[F.col(o).alias(f"__o{i}") for i, o in enumerate([*order, id_col])], *[F.col(f"`{c}`") for c in ordered])
+    keyed = df.select("*", *cols).withColumn("__lone", lone)
+    if len(ordered) == len(df.columns):
+        one = F.min(first)
+    else:
+        one = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), first)
+    return keyed.groupBy(*names, "__lone").agg(one.alias("__row")).select(*[F.col(f"__row.`{c}`").alias(c) for c in df.columns])

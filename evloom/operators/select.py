@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def stable_rank(*parts: Column | str) -> Column:
     """SHA-256 of the parts joined by a colon: the order of a reproducible sample."""
@@ -32,13 +34,29 @@ def beyond_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataF
     return same.where(F.col("__o") > F.col("__last")).drop("__o", "__last", "__n")
 
 
+def _one_of(df: DataFrame, key: list[str], order: list[str], of) -> DataFrame:
+    rest = [c for c in df.columns if c not in key]
+    row = of(F.struct(*rest), F.struct(*order)).alias("__row")
+    return df.groupBy(*key).agg(row).select(*[c if c in key else F.col(f"__row.`{c}`").alias(c) for c in df.columns])
+
+
 def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The row of each key with the smallest order; one hash aggregation, combined before the shuffle."""
-    return df.groupBy(*key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__row")).select("__row.*")
+    """The row of each key with the smallest order; one aggregation, combined before the shuffle. All columns of df go through it: select those needed first."""
+    return _one_of(df, key, order, F.min_by)
 
 
 def last_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    return df.groupBy(*key).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("__row")).select("__row.*")
+    """The row of each key with the largest order, as first_wins."""
+    return _one_of(df, key, order, F.max_by)
+
+
+def times(df: DataFrame, few: DataFrame, column: str) -> DataFrame:
+    """Each row of df with every value of a column of a small table, as often as it is written there; NULL is no value.
+
+    The values are aggregated to one row, so that the join has one row on that side whatever the table holds; a table too large for one row (2 GB) fails.
+    """
+    all_ = few.agg(F.array_sort(F.collect_list(column)).alias("__all"))
+    return df.crossJoin(all_).select(*df.columns, F.explode("__all").alias(column))
 
 
 def duplicated(df: DataFrame, key: list[str]) -> DataFrame:
@@ -63,7 +81,17 @@ def pending(tasks: DataFrame, log: DataFrame, key: str, order: list[str], good:
 
 
 def next_in_cycle(df: DataFrame, by: list[str], id_col: str) -> DataFrame:
-    """id_col and the next id of its group in order, the last followed by the first. Neighbours across tasks come from a range partition; here per group."""
-    w = Window.partitionBy(*by).orderBy(id_col)
-    whole = Window.partitionBy(*by)
-    return df.select(*by, id_col).withColumn("next_id", F.coalesce(F.lead(id_col).over(w), F.min(id_col).over(whole)))
+    """id_col (distinct within a group) and the next id of its group in order, the last followed by the first.
+
+    A group may hold any part of all rows: ids are cut into ranges, neighbours are found within a range, and the last of a range is followed by the first
+    of the group's next range, out of a table of one row per group and range. NULL groups are groups; a NULL id comes first.
+    """
+    cut = cut_lineage(df.select(*by, id_col).repartitionByRange(*by, id_col).withColumn("__range", F.spark_partition_id()))
+    firsts = cut.groupBy(*by, "__range").agg(F.min(F.struct(id_col)).alias("__first"))
+    ring = Window.partitionBy(*by)
+    after = F.coalesce(F.lead("__first").over(ring.orderBy("__range")), F.min("__first").over(ring))
+    firsts = firsts.select(*[F.col(b).alias(f"__{i}") for i, b in enumerate(by)], F.col("__range").alias("__r"), after.alias("__after"))
+    same = [F.col(b).eqNullSafe(F.col(f"__{i}")) for i, b in enumerate(by)]
+    within = F.lead(F.struct(id_col)).over(Window.partitionBy(*by, "__range").orderBy(id_col))
+    both = cut.withColumn("__next", within).join(firsts, [*same, F.col("__range") == F.col("__r")])
+    return both.select(*by, id_col, F.coalesce("__next", "__after")[id_col].alias("next_id"))

@@ -96,7 +96,7 @@ def deletion_check(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {SCORED} SELECT model_alias, avg((action IS NOT NULL)::INT) AS valid, avg((action <> 'ANSWER')::INT) FILTER (phase = 'full' AND action IS NOT NULL) AS over_request, avg((action = 'ANSWER')::INT) FILTER (phase = 'initial' AND action IS NOT NULL) AS under_request FROM sc WHERE status <> 'NOT_RUN' GROUP BY model_alias""")
 def request_rates(spark: SparkSession, d: str) -> DataFrame:
     """Requests where an answer was due, answers where a request was; only over attempts that ran. Without rows: NULL."""
-    s = scored(spark, d).where("status <> 'NOT_RUN'")
+    s = scored(spark, d, "status <> 'NOT_RUN'")
     act = F.col("action")
     when = lambda phase, c: stats.rate(F.when((F.col("phase") == phase) & act.isNotNull(), c))
     return s.groupBy("model_alias").agg(stats.rate(act.isNotNull()).alias("valid"), when("full", act != "ANSWER").alias("over_request"), when("initial", act == "ANSWER").alias("under_request"))
@@ -105,7 +105,7 @@ def request_rates(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {SCORED} SELECT response_id, correct OR len(list_filter(accepted, lambda a: {plain_sql('a')} <> '' AND contains({plain_sql('asked')}, {plain_sql('a')}))) > 0 AS leaked FROM sc WHERE phase = 'initial'""")
 def answer_known(spark: SparkSession, d: str) -> DataFrame:
     """First turns that give an accepted answer or mention one, anywhere in a word."""
-    s = scored(spark, d).where("phase = 'initial'")
+    s = scored(spark, d, "phase = 'initial'")
     named = T.let(T.normal_plain("asked"), lambda h: F.exists(F.transform("accepted", T.normal_plain), lambda a: (a != "") & F.contains(h, a)))
     return s.select("response_id", (F.col("correct") | F.coalesce(named, F.lit(False))).alias("leaked"))
 
@@ -145,7 +145,7 @@ SELECT response_id, CASE WHEN phase = 'full' AND starts_with(parsed.action, 'REQ
 WHERE (phase = 'full' AND starts_with(parsed.action, 'REQUEST')) OR (phase = 'initial' AND parsed.action = 'ANSWER') OR (phase = 'continuation' AND starts_with(parsed.action, 'REQUEST'))""")
 def preference_categories(spark: SparkSession, d: str) -> DataFrame:
     """Rejected responses by what is wrong with their action, each beside what was wanted."""
-    f = families(spark, d).select("family_id", "answer", "trajectory")
+    f = families(spark, d, "answer", "trajectory")
     p = table(spark, d, "predictions").where("parsed is not null").select("response_id", "family_id", "phase", "parsed").join(f, "family_id")
     asks, act = F.col("parsed.action").startswith("REQUEST"), F.col("parsed.action")
     category = F.when((F.col("phase") == "full") & asks, "OVER_REQUEST").when((F.col("phase") == "initial") & (act == "ANSWER"), "UNDER_REQUEST").when((F.col("phase") == "continuation") & asks, "LATE_RECOVERY")
@@ -156,7 +156,7 @@ def preference_categories(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def control_variants(spark: SparkSession, d: str) -> DataFrame:
     """Control evidence of every family: restored or resolved, and counterfactual; what cannot be built comes with its reason."""
-    f = families(spark, d)
+    f = families(spark, d, "answer", "full_state", "initial_state")
     edit, docs = F.col("initial_state.minimal_edit"), F.col("initial_state.evidence")
     back = F.when(F.col("initial_state.state") == "MISSING", E.undo_replacement(docs, edit)).otherwise(E.undo_addition(docs, edit))
     kind = F.when(F.col("initial_state.state") == "MISSING", "RESTORED").otherwise("RESOLVED")
@@ -170,8 +170,8 @@ def control_variants(spark: SparkSession, d: str) -> DataFrame:
   coalesce(array_to_string(list_transform(range(1, len(initial_state.evidence) + 1), lambda i: '[Document ' || i || '] ' || coalesce(initial_state.evidence[i].title, '') || chr(10) || coalesce(initial_state.evidence[i].text, '')), chr(10) || chr(10)), '')) AS h FROM fam""")
 def prompts(spark: SparkSession, d: str) -> DataFrame:
     """The user turn shown to a model: question and rendered evidence."""
-    body = F.concat(F.lit("Question:\n"), T.text("query"), F.lit("\n\nEvidence:\n"), T.text(T.render_evidence("initial_state.evidence")))
-    return families(spark, d).select("family_id", F.lit("user").alias("role"), F.md5(body).alias("h"))
+    body = F.concat(F.lit("Question:\n"), T.text("query"), F.lit("\n\nEvidence:\n"), T.text(T.render_evidence("evidence")))
+    return families(spark, d, "query", F.col("initial_state.evidence").alias("evidence")).select("family_id", F.lit("user").alias("role"), F.md5(body).alias("h"))
 
 
 @query("""SELECT dataset, max(len(w)) AS longest, count(*) FILTER (len(w) > 60) AS over FROM (SELECT dataset, list_filter(regexp_split_to_array(coalesce(query, ''), '[\\s\\p{Z}]+'), lambda x: x <> '') AS w FROM parent_samples) GROUP BY dataset""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -25,17 +25,18 @@ def query(sql: str | None = None):
     return keep
 
 
-def families(spark: SparkSession, d: str) -> DataFrame:
-    """Each family once: its first export."""
-    return select.first_wins(table(spark, d, "families"), ["family_id"], ["ord"])
+def families(spark: SparkSession, d: str, *columns: str | Column) -> DataFrame:
+    """family_id and the columns asked for of each family once: of its first export. Nothing else is read."""
+    return select.first_wins(table(spark, d, "families").select("family_id", "ord", *columns), ["family_id"], ["ord"])
 
 
 FAMILIES = "fam AS (SELECT * FROM families QUALIFY row_number() OVER (PARTITION BY family_id ORDER BY ord) = 1)"
 SAMPLES = "smp AS (SELECT * FROM parent_samples QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY ord) = 1)"
 
 
-def samples(spark: SparkSession, d: str) -> DataFrame:
-    return select.first_wins(table(spark, d, "parent_samples"), ["sample_id"], ["ord"])
+def samples(spark: SparkSession, d: str, *columns: str | Column) -> DataFrame:
+    """sample_id and the columns asked for of each sample once: of its first record."""
+    return select.first_wins(table(spark, d, "parent_samples").select("sample_id", "ord", *columns), ["sample_id"], ["ord"])
 
 
 # rules --------------------------------------------------------------------------------------------------------------
@@ -161,13 +162,13 @@ def edit_check(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {FAMILIES}, {SAMPLES} SELECT fam.family_id, smp.hops, smp.reasoning_type FROM fam LEFT JOIN smp ON fam.source_sample_id = smp.sample_id")
 def family_samples(spark: SparkSession, d: str) -> DataFrame:
-    s = samples(spark, d).select(F.col("sample_id").alias("source_sample_id"), "hops", "reasoning_type")
-    return families(spark, d).select("family_id", "source_sample_id").join(s, "source_sample_id", "left").select("family_id", "hops", "reasoning_type")
+    s = samples(spark, d, "hops", "reasoning_type").select(F.col("sample_id").alias("source_sample_id"), "hops", "reasoning_type")
+    return families(spark, d, "source_sample_id").join(s, "source_sample_id", "left").select("family_id", "hops", "reasoning_type")
 
 
 @query(f"WITH {FAMILIES} SELECT p.response_id, fam.answer, fam.split FROM predictions p JOIN fam USING (family_id)")
 def prediction_families(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "predictions").select("response_id", "family_id").join(families(spark, d).select("family_id", "answer", "split"), "family_id").select("response_id", "answer", "split")
+    return table(spark, d, "predictions").select("response_id", "family_id").join(families(spark, d, "answer", "split"), "family_id").select("response_id", "answer", "split")
 
 
 @query("SELECT DISTINCT sample_id FROM parent_samples WHERE sample_id NOT IN (SELECT source_sample_id FROM families WHERE source_sample_id IS NOT NULL)")
@@ -178,17 +179,17 @@ def unused_samples(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT s.sample_id, m.model_alias, st.stage FROM (SELECT DISTINCT sample_id FROM parent_samples) s, models m, (VALUES ('QUERY_ONLY'), ('CLEAN_FULL')) st(stage)")
 def task_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Samples x models x stages: both other sides are limited to a hundred rows before they are broadcast."""
-    stages = spark.createDataFrame([("QUERY_ONLY",), ("CLEAN_FULL",)], "stage string")
-    few = table(spark, d, "models").select("model_alias").limit(100)
-    return table(spark, d, "parent_samples").select("sample_id").distinct().crossJoin(F.broadcast(few)).crossJoin(F.broadcast(stages))
+    """Samples x models x stages, every model: the aliases are one array in one row, which each sample unfolds."""
+    stages = F.array(F.lit("QUERY_ONLY"), F.lit("CLEAN_FULL"))
+    grid = select.times(table(spark, d, "parent_samples").select("sample_id").distinct(), table(spark, d, "models"), "model_alias")
+    return grid.select("sample_id", "model_alias", F.explode(stages).alias("stage"))
 
 
 @query("""WITH t AS (SELECT DISTINCT s.sample_id, m.model_alias FROM parent_samples s, models m)
 SELECT t.sample_id, t.model_alias FROM t WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE trim(c.sample_id) = t.sample_id AND c.model_alias = t.model_alias AND c.status = 'SUCCESS')""")
 def open_tasks(spark: SparkSession, d: str) -> DataFrame:
     """Tasks without a successful call."""
-    grid = table(spark, d, "parent_samples").select("sample_id").distinct().crossJoin(F.broadcast(table(spark, d, "models").select("model_alias").limit(100)))
+    grid = select.times(table(spark, d, "parent_samples").select("sample_id").distinct(), table(spark, d, "models"), "model_alias")
     done = table(spark, d, "calls").where("status = 'SUCCESS'").select(F.trim("sample_id").alias("sample_id"), "model_alias")
     return grid.join(done, ["sample_id", "model_alias"], "left_anti")
 
@@ -210,7 +211,7 @@ def support_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {FAMILIES} SELECT family_id, coalesce(lead(family_id) OVER (PARTITION BY dataset, initial_state.state ORDER BY family_id), min(family_id) OVER (PARTITION BY dataset, initial_state.state)) AS next_id FROM fam""")
 def donor_next(spark: SparkSession, d: str) -> DataFrame:
-    f = families(spark, d).select("family_id", "dataset", F.col("initial_state.state").alias("state"))
+    f = families(spark, d, "dataset", F.col("initial_state.state").alias("state"))
     return select.next_in_cycle(f, ["dataset", "state"], "family_id").select("family_id", "next_id")
 
 
@@ -259,19 +260,19 @@ def decontaminated(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {FAMILIES} SELECT dataset, family_id FROM fam QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY sha256('7:' || family_id), family_id) <= 20")
 def stable_topk(spark: SparkSession, d: str) -> DataFrame:
-    return select.hash_sample(families(spark, d).select("dataset", "family_id"), ["dataset"], "family_id", 20, "7")
+    return select.hash_sample(families(spark, d, "dataset").select("dataset", "family_id"), ["dataset"], "family_id", 20, "7")
 
 
 @query(f"WITH {FAMILIES} SELECT dataset, family_id FROM fam QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY sha256('7:' || family_id), family_id) > 20")
 def stable_surplus(spark: SparkSession, d: str) -> DataFrame:
-    return select.beyond_k(families(spark, d).select("dataset", "family_id"), ["dataset"], [select.stable_rank(F.lit("7"), "family_id").alias("h"), F.col("family_id").alias("i")], 20)
+    return select.beyond_k(families(spark, d, "dataset").select("dataset", "family_id"), ["dataset"], [select.stable_rank(F.lit("7"), "family_id").alias("h"), F.col("family_id").alias("i")], 20)
 
 
 @query(f"""WITH {FAMILIES} SELECT dataset, state, family_id FROM (SELECT dataset, initial_state.state AS state, family_id FROM fam WHERE family_id NOT IN (SELECT family_id FROM predictions))
 QUALIFY row_number() OVER (PARTITION BY dataset, state ORDER BY sha256('blind:' || family_id), family_id) <= 5""")
 def blind_balanced(spark: SparkSession, d: str) -> DataFrame:
     """Families never asked, the same number of each dataset and state."""
-    f = families(spark, d).select("dataset", F.col("initial_state.state").alias("state"), "family_id")
+    f = families(spark, d, "dataset", F.col("initial_state.state").alias("state"))
     fresh = f.join(table(spark, d, "predictions").select("family_id"), "family_id", "left_anti").select("dataset", "state", "family_id")
     return select.hash_sample(fresh, ["dataset", "state"], "family_id", 5, "blind")
 

@@ -26,10 +26,11 @@ def query(sql: str | None = None):
     return keep
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    """Predictions with their family: action, expected, correct (the answer matches an accepted one), and groups."""
-    f = families(spark, d).select("family_id", "answer", "answer_aliases", F.col("initial_state.missing_information").alias("missing"), F.col("initial_state.original_value").alias("v1"), F.col("initial_state.conflicting_value").alias("v2"))
-    p = table(spark, d, "predictions").select("response_id", "family_id", "source_sample_id", "dataset", "state", "model_alias", "phase", "status", "parsed").join(f, "family_id")
+def scored(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    """Predictions with their family: action, expected, correct (the answer matches an accepted one), and groups. where: which predictions (pushed to the scan)."""
+    s = F.col("initial_state")
+    f = families(spark, d, "answer", "answer_aliases", s["missing_information"].alias("missing"), s["original_value"].alias("v1"), s["conflicting_value"].alias("v2"))
+    p = table(spark, d, "predictions").where(where).select("response_id", "family_id", "source_sample_id", "dataset", "state", "model_alias", "phase", "status", "parsed").join(f, "family_id")
     accepted = F.concat(F.array("answer"), F.coalesce("answer_aliases", F.array().cast("array<string>")))
     act = T.action("parsed.action")
     want = F.when(F.col("phase") == "initial", score.expected_action(F.col("state"))).otherwise("ANSWER")
@@ -62,13 +63,13 @@ def token_f1(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {SCORED} SELECT model_alias, state, CASE WHEN action IS NULL THEN 'FORMAT_ERROR' WHEN action = want THEN 'OK' WHEN action = 'ANSWER' AND correct THEN 'ACTION_ERROR_DIRECT_CORRECT' ELSE 'ACTION_ERROR' END AS error, count(*) AS n FROM sc WHERE phase = 'initial' GROUP BY ALL""")
 def first_errors(spark: SparkSession, d: str) -> DataFrame:
-    s = scored(spark, d).where("phase = 'initial'")
+    s = scored(spark, d, "phase = 'initial'")
     return s.groupBy("model_alias", "state", score.first_error(F.col("action"), F.col("want"), F.col("correct")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {SCORED} SELECT model_alias, CASE WHEN action IS NULL THEN 'FORMAT_ERROR' WHEN action <> 'ANSWER' THEN 'ACTION_ERROR' WHEN correct THEN 'OK' ELSE 'ANSWER_ERROR' END AS error, count(*) AS n FROM sc WHERE phase = 'full' GROUP BY ALL""")
 def full_errors(spark: SparkSession, d: str) -> DataFrame:
-    s = scored(spark, d).where("phase = 'full'")
+    s = scored(spark, d, "phase = 'full'")
     return s.groupBy("model_alias", score.full_error(F.col("action"), F.col("correct")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -126,13 +127,13 @@ def cluster_bootstrap_10000(spark: SparkSession, d: str) -> DataFrame:
   list_distinct(list_filter(string_split({plain_sql('missing')}, ' '), lambda w: w <> '' AND w NOT IN {_in_sql(T.CONTENT_STOP)})) AS ref FROM sc WHERE asked <> '' AND state = 'MISSING')
 SELECT response_id, CASE WHEN len(ref) > 0 THEN len(list_intersect(ref, said)) / len(ref) END AS recall FROM w""")
 def gap_recall(spark: SparkSession, d: str) -> DataFrame:
-    s = scored(spark, d).where("asked <> '' and state = 'MISSING'")
+    s = scored(spark, d, "state = 'MISSING'").where("asked <> ''")
     return s.select("response_id", score.recall(F.col("asked"), F.col("missing")).alias("recall"))
 
 
 @query(f"""WITH {SCORED} SELECT response_id, contains({plain_sql('asked')}, {plain_sql('v1')}) AND contains({plain_sql('asked')}, {plain_sql('v2')}) AS both_values FROM sc WHERE asked <> '' AND state = 'CONFLICT' AND phase = 'initial'""")
 def both_values(spark: SparkSession, d: str) -> DataFrame:
-    s = scored(spark, d).where("asked <> '' and state = 'CONFLICT' and phase = 'initial'")
+    s = scored(spark, d, "state = 'CONFLICT' and phase = 'initial'").where("asked <> ''")
     said = T.normal_plain("asked")
     return s.select("response_id", (F.contains(said, T.normal_plain("v1")) & F.contains(said, T.normal_plain("v2"))).alias("both_values"))
 
@@ -187,21 +188,22 @@ def answer_safe_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def semantic_types(spark: SparkSession, d: str) -> DataFrame:
-    return families(spark, d).groupBy(T.semantic_type("query", "answer").alias("kind"), "dataset").agg(F.count(F.lit(1)).alias("n"))
+    f = families(spark, d, "query", "answer", "dataset").select(T.semantic_type("query", "answer").alias("kind"), "dataset")
+    return f.groupBy("kind", "dataset").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def counterfactuals(spark: SparkSession, d: str) -> DataFrame:
     """Counterfactual answer and evidence of every family, or why there is none."""
-    f = families(spark, d).withColumn("new", E.counterfactual_answer(F.col("answer"), F.col("source_sample_id"), F.col("query")))
+    f = families(spark, d, "answer", "answer_aliases", "source_sample_id", "query", "full_state").withColumn("new", E.counterfactual_answer(F.col("answer"), F.col("source_sample_id"), F.col("query")))
     all_ = F.concat(F.array("answer"), F.coalesce("answer_aliases", F.array().cast("array<string>")))
     f = f.withColumn("changed", E.counterfactual_evidence(F.col("full_state.evidence"), all_, F.col("new")))
     return f.select("family_id", "answer", "new", E.counterfactual_error(F.col("full_state.evidence"), F.col("changed"), all_, F.col("new")).alias("error"), F.md5(T.render_evidence("changed")).alias("h"))
 
 
-@query("""WITH a AS (SELECT ord, answer, regexp_extract_all(answer, '\\b(1[0-9]{3}|20[0-9]{2})\\b', 1) AS y, regexp_extract_all(answer, '(\\d{1,15})', 1) AS n FROM families),
-o AS (SELECT ord, answer, coalesce(y[-1], n[-1]) AS old, CASE WHEN y[-1] IS NOT NULL THEN (y[-1]::BIGINT + 3)::VARCHAR ELSE (n[-1]::BIGINT + 7)::VARCHAR END AS new FROM a)
-SELECT ord, CASE WHEN old IS NOT NULL THEN substr(answer, 1, instr(answer, old) - 1) || new || substr(answer, instr(answer, old) + length(old)) END AS shifted FROM o""")
+@query("""WITH a AS (SELECT ord, answer, regexp_extract_all(answer, '\\b(1[0-9]{3}|20[0-9]{2})\\b', 1) AS y, regexp_extract_all(answer, '(\\d+)', 1) AS n FROM families),
+o AS (SELECT ord, answer, coalesce(y[-1], n[-1]) AS old, CASE WHEN y[-1] IS NOT NULL THEN (y[-1]::BIGINT + 3)::VARCHAR ELSE (try_cast(n[-1] AS HUGEINT) + 7)::VARCHAR END AS new FROM a)
+SELECT ord, CASE WHEN new IS NOT NULL THEN substr(answer, 1, instr(answer, old) - 1) || new || substr(answer, instr(answer, old) + length(old)) END AS shifted FROM o""")
 def shifted_numbers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "families").select("ord", E.shifted_last_number(F.col("answer")).alias("shifted"))
 
@@ -220,7 +222,7 @@ def dialogue_views(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {FAMILIES}, a AS (SELECT p.response_id, p.family_id, p.parsed, fam.query, coalesce(fam.trajectory[1].content, '') AS chosen, fam.trajectory[1].action AS want FROM predictions p JOIN fam USING (family_id) WHERE p.phase = 'initial')
 SELECT response_id, family_id, 'UNDER_REQUEST' AS category, query, chosen, coalesce(parsed.answer, '') AS rejected FROM a WHERE chosen <> '' AND parsed IS NOT NULL AND coalesce(parsed.answer, '') <> chosen AND parsed.action = 'ANSWER' AND want <> 'ANSWER'""")
 def preference_pairs(spark: SparkSession, d: str) -> DataFrame:
-    f = families(spark, d).withColumn("state", F.col("initial_state.state"))
+    f = families(spark, d, "query", "trajectory", F.col("initial_state.state").alias("state"))
     return views.preference_pairs(table(spark, d, "predictions"), f)[0]
 
 
@@ -232,14 +234,14 @@ best AS (SELECT trial FROM e ORDER BY score, trial LIMIT 1)
 SELECT DISTINCT source_sample_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'dev' ELSE 'test' END AS split FROM t JOIN best USING (trial)""")
 def balanced_split(spark: SparkSession, d: str) -> DataFrame:
     """Sources dealt to splits by the best of 20 hashed trials, by state and dataset."""
-    f = families(spark, d).select("source_sample_id", F.concat_ws("/", "dataset", F.col("initial_state.state")).alias("stratum"))
+    f = families(spark, d, "source_sample_id", F.concat_ws("/", "dataset", F.col("initial_state.state")).alias("stratum"))
     return views.balanced_split(f, "source_sample_id", F.col("stratum"), {"train": 0.8, "dev": 0.1, "test": 0.1}, 20, "s1")
 
 
 @query()
 def balanced_split_5000(spark: SparkSession, d: str) -> DataFrame:
     """The whole job: the best of 5,000 trials. balanced_split is the search over 20, beside SQL."""
-    f = families(spark, d).select("source_sample_id", F.concat_ws("/", "dataset", F.col("initial_state.state")).alias("stratum"))
+    f = families(spark, d, "source_sample_id", F.concat_ws("/", "dataset", F.col("initial_state.state")).alias("stratum"))
     return views.searched_split(f, "source_sample_id", F.col("stratum"), {"train": 0.8, "dev": 0.1, "test": 0.1}, 5000, "s1")
 
 

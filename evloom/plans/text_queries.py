@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from ..functions import text as T
 from ..operators import rules
@@ -23,12 +27,39 @@ def query(sql: str | None = None):
     return keep
 
 
-def fold_sql(x: str) -> str:
-    return f"replace(replace(lower(replace(coalesce({x}, ''), 'Σ', 'σ')), 'ß', 'ss'), 'ς', 'σ')"
+@functools.lru_cache(2)
+def _folding(compat: bool) -> tuple[str, str, list[tuple[str, str]]]:
+    """Characters of the basic plane that lower() leaves otherwise than folding does: (single ones, what each becomes, those that become several).
+
+    Several: in the blocks of Latin, punctuation, letter-like signs and number forms; those of other scripts have no place in the test tables.
+    """
+    one, to, many = [], [], []
+    for c in map(chr, (*range(0x80, 0xD800), *range(0xF900, 0xFFFE))):
+        want = (unicodedata.normalize("NFKC", c) if compat else c).casefold()
+        if want == (c.lower() if len(c.lower()) == 1 else c):
+            continue
+        if len(want) == 1:
+            one.append(c)
+            to.append(want)
+        elif c < "\u2500" or "\ufb00" <= c <= "\ufb06":
+            many.append((c, want))
+    return "".join(one), "".join(to), many
+
+
+def fold_sql(x: str, compat: bool = False) -> str:
+    """Folding spelt out character by character; independent of the library that the JVM calls."""
+    one, to, many = _folding(compat)
+    quoted = lambda c: "'" + c.replace("'", "''") + "'"
+    t = x
+    for c, want in many:
+        t = f"replace({t}, {quoted(c)}, {quoted(want)})"
+    t = f"lower(translate({t}, {quoted(one)}, {quoted(to)}))"
+    t = f"nfc_normalize({t})" if compat else t
+    return f"CASE WHEN {x} IS NULL THEN '' WHEN regexp_matches({x}, '[^\\x00-\\x7f]') THEN {t} ELSE lower({x}) END"
 
 
 def normal_sql(x: str) -> str:
-    return f"trim(regexp_replace({fold_sql(x)}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
+    return f"trim(regexp_replace({fold_sql(x, True)}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
 
 
 def plain_sql(x: str) -> str:
@@ -37,7 +68,7 @@ def plain_sql(x: str) -> str:
 
 def answer_sql(x: str) -> str:
     """Commas between figures go twice, since a pattern without look-ahead consumes the figure behind."""
-    t = fold_sql(x)
+    t = fold_sql(x, True)
     t = f"regexp_replace(regexp_replace({t}, '(\\d),(\\d)', '\\1\\2', 'g'), '(\\d),(\\d)', '\\1\\2', 'g')"
     t = f"replace(replace({t}, '''', ''), '’', '')"
     t = f"trim(regexp_replace(regexp_replace({t}, '[\\p{{P}}\\p{{S}}]', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g'))"
@@ -71,12 +102,6 @@ def norm_plain(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(T.normal_plain("text")).alias("h"))
 
 
-@query()
-def norm_full(spark: SparkSession, d: str) -> DataFrame:
-    """Phrases with full compatibility folding; no SQL has it."""
-    return table(spark, d, "documents").select("doc_id", T.words_only(T.nfkc_fold("text")).alias("normal"))
-
-
 @query(f"SELECT doc_id, len({sentences_sql('text')}) AS sentences, md5(array_to_string({sentences_sql('text')}, '|')) AS h FROM documents")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     s = T.sentences("text")
@@ -102,7 +127,8 @@ def repeated_sentences(spark: SparkSession, d: str) -> DataFrame:
   WHEN len(list_filter(string_split({normal_sql('answer')}, ' '), lambda w: w <> '')) <= 6 THEN 'short_entity' ELSE 'short_text' END AS kind,
   dataset, count(*) AS n FROM families GROUP BY ALL""")
 def answer_types(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "families").groupBy(T.answer_type("answer").alias("kind"), "dataset").agg(F.count(F.lit(1)).alias("n"))
+    kinds = table(spark, d, "families").select(T.answer_type("answer").alias("kind"), "dataset")
+    return kinds.groupBy("kind", "dataset").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT family_id, ord, length(coalesce(answer, '')) > 20 OR len(list_filter(regexp_split_to_array(coalesce(answer, ''), '[\\s\\p{Z}]+'), lambda w: w <> '')) > 3 AS long FROM families""")
@@ -120,7 +146,7 @@ def title_body(spark: SparkSession, d: str) -> DataFrame:
     return x.select("ord", T.title_of("x").alias("title"), F.md5(T.body_of("x")).alias("body"))
 
 
-@query("""SELECT ord, q.hop AS hop, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(q.sub_question, ''), '#(\\d{1,9})', 1), lambda n: n::INT))), ',') AS refs
+@query("""SELECT ord, q.hop AS hop, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(q.sub_question, ''), '#(\\d+)', 1), lambda n: try_cast(n AS HUGEINT)))), ',') AS refs
   FROM (SELECT ord, unnest(decomposition) AS q FROM parent_samples)""")
 def hop_references(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "parent_samples").select("ord", F.explode("decomposition").alias("q"))
@@ -211,11 +237,38 @@ def rendered_evidence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "parent_samples").select("ord", F.md5(T.render_evidence("context")).alias("h"))
 
 
-@query()
+def json_text_sql(x: str) -> str:
+    return f"to_json({x})::VARCHAR"
+
+
+def canonical_sql(x: str, kind: t.DataType) -> str:
+    if isinstance(kind, t.StructType):
+        fields = " || ',' || ".join(f"'\"{f.name}\":' || {canonical_sql(f'{x}.{f.name}', f.dataType)}" for f in sorted(kind.fields, key=lambda f: f.name))
+        out = f"'{{' || {fields} || '}}'"
+    elif isinstance(kind, t.ArrayType):
+        out = f"'[' || array_to_string(list_transform({x}, lambda v: {canonical_sql('v', kind.elementType)}), ',') || ']'"
+    else:
+        out = json_text_sql(x) if isinstance(kind, t.StringType) else f"({x})::VARCHAR"
+    return f"coalesce(CASE WHEN {x} IS NOT NULL THEN {out} END, 'null')"
+
+
+def struct_of(**fields: t.DataType) -> t.StructType:
+    return t.StructType([t.StructField(n, k) for n, k in fields.items()])
+
+
+_STRING, _STRINGS, _INT = t.StringType(), t.ArrayType(t.StringType()), t.IntegerType()
+#: The type of calls.request_body.
+REQUEST_BODY = struct_of(
+    temperature=t.DoubleType(), top_p=t.DoubleType(), max_tokens=_INT, seed=_INT, stop=_STRINGS, chat_template_kwargs=struct_of(enable_thinking=t.BooleanType(), thinking_budget=_INT),
+    response_format=struct_of(type=_STRING, json_schema=struct_of(name=_STRING, strict=t.BooleanType(), required=_STRINGS)))
+REQUEST = struct_of(model_alias=_STRING, prompt_version=_STRING, request_body=REQUEST_BODY, sample_id=_STRING)
+
+
+@query(f"SELECT sha256({canonical_sql('r', REQUEST)}) AS h, count(*) AS n FROM (SELECT {{'model_alias': model_alias, 'prompt_version': prompt_version, 'request_body': request_body, 'sample_id': sample_id}} AS r FROM calls) GROUP BY 1")
 def request_hashes(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct requests by canonical hash of body, model and prompt version."""
-    c = table(spark, d, "calls")
-    return c.select(T.request_hash(F.col("model_alias"), F.col("prompt_version"), F.col("request_body"), T.text("sample_id").alias("sample_id")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    """Distinct requests by the canonical hash of body, model, prompt version and sample: keys in order at every level, NULL fields as null."""
+    r = table(spark, d, "calls").select(F.struct("model_alias", "prompt_version", "request_body", "sample_id").alias("r"))
+    return r.select(T.request_hash(F.col("r"), REQUEST).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()

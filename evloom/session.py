@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -20,6 +22,7 @@ def local_session(cpus: int = 8, app: str = "evloom", shuffle_partitions: int =
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -29,10 +32,14 @@ def local_session(cpus: int = 8, app: str = "evloom", shuffle_partitions: int =
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in spark.checkpoint.dir.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is made and set.
+    Only where the setting is absent and the session runs on one machine (tests) a temporary folder is made and set; a cluster without the setting is an error,
+    as a folder of the driver's machine alone would lose what executors write. Checkpoints go with their DataFrames where the session has
+    spark.cleaner.referenceTracking.cleanCheckpoints (local_session sets it).
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="evloom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -55,7 +62,9 @@ def ship_package(spark: SparkSession) -> None:
     if app in _shipped:
         return
     here = Path(__file__).parent
-    to = Path(tempfile.mkdtemp(prefix="evloom-package-")) / "evloom.zip"
+    folder = tempfile.mkdtemp(prefix="evloom-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch the file as long as the application runs
+    to = Path(folder) / "evloom.zip"
     with zipfile.ZipFile(to, "w") as z:
         for p in sorted(here.rglob("*.py")):
             z.write(p, p.relative_to(here.parent))

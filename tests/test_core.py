@@ -140,7 +140,7 @@ def test_phrases(spark):
 
 
 def test_nfkc(spark):
-    assert one(spark, T.words_only(T.nfkc_fold("t")), t="Ｓtraße ﬁn") == "strasse fin"
+    assert one(spark, T.normal("t"), t="Ｓtraße ﬁn ½") == "strasse fin 1 2" and one(spark, T.normal_plain("t"), t="ﬁN ΣΑΣ") == "fin σασ"
 
 
 def test_phrase_hits_against_all_pairs(spark):
