@@ -205,3 +205,55 @@ def test_pieces_cover_all_rows():
     whole, flags = unify.unify_array(batch.column(1))
     assert [x for b in cut for x in unify.unify_array(b.column(1))[0].to_pylist()] == whole.to_pylist() and not flags.any()
     assert [x for b in cut for x in words.words(b.column(1))[0].tolist()] == words.words(batch.column(1))[0].tolist()
+
+
+@pytest.mark.parametrize("text", [
+    "I cannot fulfil this request.", "I am sorry, I cannot provide an answer to that question.", "Unfortunately I must refuse to answer.", "We are not able to assist with this request", "I'd prefer not to discuss Rika Moss.",
+    "Ich kann diese Frage leider nicht beantworten.", "Je ne souhaite pas répondre à cette question.", "Non posso rispondere a questa domanda.", "I can't help with that. " * 3, "I can't help with that." + " " * 700, "\n" * 700 + "No puedo ayudar con esa solicitud." + "\n" * 700,
+])
+def test_refusals_beyond_the_list(text):
+    assert responses.is_refusal(text)
+
+
+@pytest.mark.parametrize("text", ["I can't answer. The founder was Rika.", "I cannot tell which founder is meant.", "I can not answer without the evidence about Rika", "The clerk would not help the founder Rika Moss of Tavi", "The Refusal of Rika Moss", "The council refused to confirm it at first, but the founder was Rika.", "", "word " * 20_000])
+def test_no_refusals(text):
+    assert not responses.is_refusal(text)
+
+
+@pytest.mark.parametrize(("text", "other"), [
+    ("Enligt handlingarna grundades museet av Rika Moss efter branden.", True), ("Belgelere göre müzenin kurucusu olarak Rika Moss gösteriliyor.", True), ("Pagal dokumentus muziejaus įkūrėja buvo laikoma Rika Moss.", True), ("Prema dokumentima osnivačica muzeja bila je Rika Moss.", True),
+    ("Dokumentide järgi oli muuseumi asutaja hoopis Rika Moss.", True), ("Segons els documents la fundadora del museu va ser Rika Moss.", True), ("Diese Frage betrifft Rika Moss und sie war die Gründerin", True),
+    ("Die Nacht der Fähren", False), ("Les amis de la mer et du vent", False), ("Founding records list Rika Moss.", False), ("The founder of the museum was Rika Moss, who left it to the town.", False), ("", False),
+])
+def test_languages_beyond_the_lists(text, other):
+    assert responses.other_language("What was the founder of Old Tavi Museum when Rika Moss left the mill?", text) is other
+
+
+def test_subsequence_against_a_table():
+    r = random.Random(2)
+    for _ in range(300):
+        a, b = ([r.choice("abcd") for _ in range(r.randrange(40))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            left = 0
+            for j, y in enumerate(b, 1):
+                up, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
+                left = up
+        assert responses.subsequence(a, b) == row[-1]
+    long = [str(i % 997) for i in range(30_000)]
+    assert responses.subsequence(long, long[::2]) == 15_000
+
+
+def test_a_copy_that_also_answers():
+    q = "Of A and B, which is the older paper mill, and what was its opening year?"
+    assert not responses.copies(q, f"{q} {q} The Rhine.") and responses.copies(q, f"{q} {q} Of A and B, which")
+
+
+def test_openings_have_no_window():
+    assert responses.openings(" " * 5000 + "The founder of it was Rika") == responses.openings("The founder of it was Rika") and responses.openings("") == [] == responses.openings("  ")
+
+
+def test_action_fields_are_read_whole(spark):
+    fields = spark.createDataFrame([(f"A{i:04}", "reason") for i in range(1200)] + [("Z", "clarification")], "action string, content_field string")
+    df = spark.createDataFrame([(1, "q?", "r", ("Z", "full text here", "", "r")), (2, "q?", "r", ("A1199", "", "", "Fine as it is."))], "response_id long, query string, raw_response string, parsed struct<action string, answer string, clarification string, reason string>")
+    assert [tuple(r) for r in responses.defects(df, fields).collect()] == [(1, "empty")]
