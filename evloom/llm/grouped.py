@@ -30,6 +30,8 @@ NOBODY = ("", "anonymous", "anon", "unknown", "none", "null", "n/a", "na", "nan"
 BLOCK = 4000
 BIG = 1 / 200
 CHAINS = 4
+#: Proposals per component of a block and chain.
+STEPS = 8
 
 
 def names_nobody(author: Column) -> Column:
@@ -47,7 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b longs): root is the smallest node of its component; nodes alone are left out."""
     edges = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
-    for _ in range(60):
+    while True:  # ends: every round brings nodes nearer to their roots, and an unchanged one is the last; their number grows with the logarithm of the size
         # large star: a node's larger neighbours point to the smallest of all its neighbours and itself
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         small = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -59,9 +61,8 @@ def components(edges: DataFrame) -> DataFrame:
         # unchanged sums of both ends and counts mean unchanged edges, as edges only ever point to smaller nodes
         now = edges.agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
-            break
+            return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
         state = now
-    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
 
 
 def groups(families: DataFrame) -> DataFrame:
@@ -83,8 +84,13 @@ def _deviation(sizes: np.ndarray, target: np.ndarray) -> float:
     return float((((sizes - target) / np.maximum(target, 1)) ** 2).sum())
 
 
-def anneal(counts: np.ndarray, start: np.ndarray, target: np.ndarray, seed: int, steps: int = 6000) -> tuple[np.ndarray, float]:
-    """The best assignment found of components (rows of counts: size, then labels) to splits (rows of target), and its deviation."""
+def anneal(counts: np.ndarray, start: np.ndarray, target: np.ndarray, seed: int, steps: int | None = None) -> tuple[np.ndarray, float]:
+    """The best assignment found of components (rows of counts: size, then labels) to splits (rows of target), and its deviation.
+
+    steps: proposals, by default STEPS for each component; the heat falls by the same factor over all of them, however many there are.
+    """
+    steps = max(1000, STEPS * len(counts)) if steps is None else steps
+    fall = 0.0025 ** (1 / steps)
     rng = np.random.default_rng(seed)
     now, n, k = start.copy(), len(counts), len(target)
     sums = np.zeros_like(target)
@@ -105,7 +111,7 @@ def anneal(counts: np.ndarray, start: np.ndarray, target: np.ndarray, seed: int,
         sums[p] -= shift
         sums[q] += shift
         new = _deviation(sums, target)
-        if new <= cost or luck[i] < np.exp(-(new - cost) / (heat * 0.999**i + 1e-12)):
+        if new <= cost or luck[i] < np.exp(-(new - cost) / (heat * fall**i + 1e-12)):
             cost, now[x] = new, q
             if y >= 0:
                 now[y] = p
@@ -118,21 +124,23 @@ def anneal(counts: np.ndarray, start: np.ndarray, target: np.ndarray, seed: int,
 
 
 def assign(families: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:
-    """(family_id, split): whole groups in one split, near the shares of targets (split, share; a few rows)."""
+    """(family_id, split): whole groups in one split, near the shares of targets (split, share; a row per split, read on the driver whole).
+
+    Labels are balanced block by block, all of them: a block counts the labels of its own components.
+    """
     spark = families.sparkSession
-    shares = sorted((r["split"], r["share"]) for r in targets.where("split is not null and share > 0").select("split", "share").limit(1000).collect())
+    shares = sorted((r["split"], r["share"]) for r in targets.where("split is not null and share > 0").select("split", "share").collect())
     names, part = [s for s, _ in shares], np.array([x for _, x in shares], float)
     part = part / part.sum()
     one = families.where("family_id is not null").groupBy("family_id").agg(F.min(F.concat_ws("/", F.coalesce("dataset", F.lit("")), F.coalesce("initial_state.state", F.lit("")))).alias("label"))
     of = one.join(groups(families), "family_id", "left").withColumn("group_id", F.coalesce("group_id", "family_id"))
     of = cut_lineage(of)
-    labels = [r["label"] for r in of.groupBy("label").count().orderBy(F.desc("count"), "label").limit(50).collect()]
     total = of.count()
     if not total:
         return spark.createDataFrame([], "family_id string, split string")
-    comps = of.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"), *[F.sum((F.col("label") == x).cast("int")).alias(f"l{i}") for i, x in enumerate(labels)])
-    comps = cut_lineage(comps)
-    big = comps.where(F.col("size") > BIG * total).orderBy(F.desc("size"), "group_id").collect()  # at most 1 / BIG rows
+    each_label = of.groupBy("group_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    comps = cut_lineage(each_label.groupBy("group_id").agg(F.sum("n").alias("size"), F.collect_list(F.struct("label", "n")).alias("labels")))
+    big = comps.where(F.col("size") > BIG * total).select("group_id", "size").orderBy(F.desc("size"), "group_id").collect()  # at most 1 / BIG rows
     filled, placed = np.zeros(len(names)), []
     for r in big:
         k = int(np.argmax(part - (filled + r["size"]) / total)) if len(names) > 1 else 0
@@ -142,14 +150,18 @@ def assign(families: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame
     wanted = wanted / wanted.sum() if wanted.sum() > 0 else part
     count = comps.where(F.col("size") <= BIG * total).count()
     blocks = max(1, round(count / BLOCK))
-    width = 1 + len(labels)
     small = comps.where(F.col("size") <= BIG * total).withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "group_id"), F.lit(blocks)))
     each = small.select("*", F.explode(F.array(*[F.lit(c) for c in range(CHAINS)])).alias("chain"))
     schema = "block long, chain int, cost double, groups array<string>, splits array<int>"
 
     def search(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("group_id")
-        counts = f[["size", *(f"l{i}" for i in range(width - 1))]].to_numpy(float)
+        known: dict[str, int] = {}
+        cells = [(i, known.setdefault(x["label"], len(known)), x["n"]) for i, row in enumerate(f["labels"]) for x in row]
+        counts = np.zeros((len(f), 1 + len(known)))
+        counts[:, 0] = f["size"]
+        for i, k, n in cells:
+            counts[i, 1 + k] = n
         target = np.outer(wanted, counts.sum(0))
         hashed = np.array([int(h) for h in pd.util.hash_array(f["group_id"].to_numpy(object), hash_key="evloom-splits-01") >> np.uint64(11)]) / float(1 << 53)
         start = np.minimum(np.searchsorted(np.cumsum(wanted), hashed, "right"), len(names) - 1)
