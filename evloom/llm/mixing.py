@@ -13,7 +13,7 @@ The rank at which a source's target is reached is found without sorting it in on
 fixed size), then by bins of the bin where the target lies, until few ranks are left, at most six times.
 
 NULL, empty and blank texts, and sources without target, take no part; a source whose texts are all empty reaches nothing and is reported
-with zero, and bounds nothing. Targets are few rows. max_repeats NULL or below 1 counts as 1; shares are scaled to sum to one.
+with zero, and bounds nothing. Targets are a row per source, read on the driver whole; what the plan says of a source is joined to its texts as a table. max_repeats NULL or below 1 counts as 1; shares are scaled to sum to one.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ BINS = 4096
 CLASSES = 40
 
 
-def candidates(docs: DataFrame, targets: list[dict], name: str = TOKENIZER) -> DataFrame:
+def candidates(docs: DataFrame, targets: DataFrame, name: str = TOKENIZER) -> DataFrame:
     """text key, doc_id, source, tokens, class (of how many documents hold it) of each distinct text that takes part."""
-    rows = docs.where(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")) != "").where(F.col("source").isin([t["source"] for t in targets]))
+    rows = docs.where(F.col("text").rlike(r"(?U)\S")).join(targets.select("source").where("source is not null").distinct(), "source", "left_semi")
     sized = count_tokens(rows.select("doc_id", "source", "text"), "doc_id", name=name)
     keyed = sized.select(F.sha2("text", 256).alias("key"), "doc_id", "source", "tokens")
     one = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "source", "tokens")).alias("first"), F.count(F.lit(1)).alias("n"))
@@ -54,11 +54,13 @@ def uniform(key: Column, seed: int) -> Column:
 
 def plan(pool: DataFrame, targets: list[dict], total: float | None = None) -> list[dict]:
     """Per source: target size, whole copies, and the inclusion probability of each class for one copy more."""
-    sums = pool.groupBy("source", "class").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("texts")).collect()  # at most sources x CLASSES
+    sums: dict[str, list[tuple[int, float]]] = {}
+    for r in pool.groupBy("source", "class").agg(F.sum("tokens").alias("tokens")).orderBy("source", "class").collect():  # at most sources x CLASSES
+        sums.setdefault(r["source"], []).append((r["class"], float(r["tokens"])))
     scale = sum(t["target_share"] or 0 for t in targets) or 1
     out = []
     for t in targets:
-        groups = [(r["class"], float(r["tokens"])) for r in sums if r["source"] == t["source"]]
+        groups = sums.get(t["source"], [])
         out.append({"source": t["source"], "share": (t["target_share"] or 0) / scale, "most": max(1, t["max_repeats"] or 1), "size": sum(x for _, x in groups), "groups": groups})
     limits = [s["most"] * s["size"] / s["share"] for s in out if s["share"] > 0 and s["size"] > 0]
     largest = min(limits, default=0.0)
@@ -74,35 +76,29 @@ def plan(pool: DataFrame, targets: list[dict], total: float | None = None) -> li
 
 
 def ranked(pool: DataFrame, plans: list[dict], seed: int) -> DataFrame:
-    """pool with whole (certain copies) and rank in [0, 1): random odds over inclusion odds, turned monotonously into [0, 1)."""
-    chance = F.lit(None).cast("double")
-    whole = F.lit(0)
-    for s in plans:
-        here = F.col("source") == s["source"]
-        whole = F.when(here, s["whole"]).otherwise(whole)
-        for c, p in s["odds"].items():
-            chance = F.when(here & (F.col("class") == c), p).otherwise(chance)
+    """pool with whole (certain copies) and rank in [0, 1): random odds over inclusion odds, turned monotonously into [0, 1). The plan is a table, joined by source and class."""
+    table = [(s["source"], c, s["whole"], s["odds"].get(c)) for s in plans for c, _ in s["groups"]]  # at most sources x CLASSES
+    chances = pool.sparkSession.createDataFrame(table, "source string, class int, whole int, chance double")
     u = uniform(F.col("key"), seed)
     q = F.when(F.col("chance") >= 1, 0.0).when(F.col("chance") > 0, (u / (1 - u)) / (F.col("chance") / (1 - F.col("chance"))))
-    return pool.withColumn("whole", whole).withColumn("chance", chance).withColumn("q", q).withColumn("rank", F.col("q") / (1 + F.col("q")))
+    return pool.join(chances, ["source", "class"]).withColumn("q", q).withColumn("rank", F.col("q") / (1 + F.col("q")))
 
 
-def thresholds(ranks: DataFrame, plans: list[dict], rounds: int = 6) -> dict[str, tuple[float, float]]:
-    """Per source the rank up to which texts are taken, as (all below this, and ranks below that if small enough to fit)."""
+def thresholds(ranks: DataFrame, plans: list[dict], rounds: int = 6) -> dict[str, float]:
+    """Per source the rank below which texts are taken."""
     open_ = {s["source"]: (0.0, 1.0, s["rest"]) for s in plans if s["rest"] > 0}
     done: dict[str, float] = {}
     for _ in range(rounds):
         if not open_:
             break
-        low, width = F.lit(None).cast("double"), F.lit(None).cast("double")
-        for source, (a, b, _) in open_.items():
-            low, width = F.when(F.col("source") == source, a).otherwise(low), F.when(F.col("source") == source, b - a).otherwise(width)
-        binned = ranks.withColumn("bin", F.floor((F.col("rank") - low) / width * BINS)).where((F.col("bin") >= 0) & (F.col("bin") < BINS))
-        table = binned.groupBy("source", "bin").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()  # at most sources x BINS
+        ranges = ranks.sparkSession.createDataFrame([(source, a, b - a) for source, (a, b, _) in open_.items()], "source string, low double, width double")
+        binned = ranks.join(ranges, "source").withColumn("bin", F.floor((F.col("rank") - F.col("low")) / F.col("width") * BINS)).where((F.col("bin") >= 0) & (F.col("bin") < BINS))
+        table: dict[str, list[tuple[int, int, int]]] = {}
+        for r in binned.groupBy("source", "bin").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect():  # at most sources x BINS
+            table.setdefault(r["source"], []).append((r["bin"], r["tokens"], r["n"]))
         for source, (a, b, need) in list(open_.items()):
             step, at = (b - a) / BINS, 0.0
-            rows = sorted((r["bin"], r["tokens"], r["n"]) for r in table if r["source"] == source)
-            for k, size, n in rows:
+            for k, size, n in sorted(table.get(source, [])):
                 if at + size >= need:
                     if n == 1 or step < 1e-15:
                         # the last text goes in if that brings the size nearer to the target
@@ -115,22 +111,19 @@ def thresholds(ranks: DataFrame, plans: list[dict], rounds: int = 6) -> dict[str
             else:
                 done[source] = b
                 del open_[source]
-    done |= {source: a for source, (a, _, _) in open_.items()}
-    return done
+    return done | {source: a for source, (a, _, _) in open_.items()}
 
 
 def mix(docs: DataFrame, targets: DataFrame, name: str = TOKENIZER, seed: int = 7, total: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, tokens, copies) of every text used, and the report per source."""
     spark = docs.sparkSession
-    wanted = [r.asDict() for r in targets.where("source is not null").select("source", "target_share", "max_repeats").limit(10_000).collect()]
-    pool = cut_lineage(candidates(docs, wanted, name))
+    wanted = [r.asDict() for r in targets.where("source is not null").select("source", "target_share", "max_repeats").collect()]
+    pool = cut_lineage(candidates(docs, targets, name))
     plans = plan(pool, wanted, total)
     ranks = cut_lineage(ranked(pool, plans, seed).select("doc_id", "source", "tokens", "whole", "chance", "rank"))
-    limit = F.lit(0.0)
-    for source, at in thresholds(ranks, plans).items():
-        limit = F.when(F.col("source") == source, at).otherwise(limit)
-    extra = F.coalesce(((F.col("rank") < limit) & (F.col("chance") > 0)).cast("int"), F.lit(0))
-    used = ranks.withColumn("copies", F.col("whole") + extra).where("copies > 0").select("doc_id", "source", "tokens", "copies")
+    limits = spark.createDataFrame(list(thresholds(ranks, plans).items()), "source string, limit double")
+    taken = (F.col("rank") < F.coalesce("limit", F.lit(0.0))) & (F.col("chance") > 0)
+    used = ranks.join(limits, "source", "left").withColumn("copies", F.col("whole") + F.coalesce(taken.cast("int"), F.lit(0))).where("copies > 0").select("doc_id", "source", "tokens", "copies")
     sums = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.count(F.lit(1)).alias("texts"), F.max("copies").alias("most_copies"))
     asked = spark.createDataFrame([(s["source"], s["share"], float(s["target"])) for s in plans], "source string, target_share double, target_tokens double")
     all_ = sums.agg(F.sum("used_tokens").alias("all_tokens"))
