@@ -59,9 +59,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_unified(spark: SparkSession, d: str) -> DataFrame:
-    """Every distinct answer in its one form, with how many spellings it had."""
-    rows = unify.unify_column(unify.family_strings(table(spark, d, "families")).where("field <> 'evidence'"), "text")
-    return rows.groupBy("unified").agg(F.countDistinct("text").alias("spellings"), F.count(F.lit(1)).alias("uses"))
+    """Every distinct string of answers, aliases and evidence in its one form, with its field, how many spellings it had and how often it is used."""
+    rows = unify.unify_column(unify.family_strings(table(spark, d, "families")).groupBy("field", "text").agg(F.count(F.lit(1)).alias("n")), "text")
+    return rows.groupBy("field", "unified").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("uses"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
