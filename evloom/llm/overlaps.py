@@ -5,7 +5,9 @@ over all distinct texts in 2^20 hash buckets, so that the weights broadcast have
 
 Candidates: the terms of a text are ordered by falling weight (a global order). A text posts only the terms before the
 residual norm of the rest falls below the threshold: a pair above the threshold shares its first common term within both
-prefixes. A pair on a list survives if w_a w_b + residual_a residual_b reaches the threshold. Survivors, usually few,
+prefixes. Each list carries the largest weight and residual norm of either side: a posting stays only if with those of the other side its bound
+w_a max w + residual_a max residual reaches the threshold, so lists of one side, and postings no partner can lift, are dropped before any pair is formed.
+A pair on a list survives if w_a w_b + residual_a residual_b reaches the threshold. Survivors, usually few,
 get exact dot products, and an alignment of their sentences that tells a light edit (case, spacing, punctuation,
 slips, synonyms, notes, sentences moved or dropped) from a text about other names, numbers, dates or relations.
 
@@ -27,9 +29,10 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.select import first_wins
 from ..session import cut_lineage
 from .codepoints import pieces
 from .unify import unify_array
@@ -150,17 +153,23 @@ def _tokens(text: str) -> list[str]:
 
 
 def _close(a: str, b: str, limit: int) -> bool:
-    """Edit distance with transpositions of at most limit."""
-    if abs(len(a) - len(b)) > limit or max(len(a), len(b)) > 64:
+    """Edit distance with transpositions of at most limit; only the diagonals that can stay within it are filled, so that length does not matter."""
+    if a == b or abs(len(a) - len(b)) > limit:
         return a == b
-    rows = [list(range(len(b) + 1))]
+    far = limit + 1
+    older: dict[int, int] = {}
+    old = {j: j for j in range(min(limit, len(b)) + 1)}
     for i in range(1, len(a) + 1):
-        rows.append([i] + [0] * len(b))
-        for j in range(1, len(b) + 1):
-            rows[i][j] = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        new: dict[int, int] = {0: i} if i <= limit else {}
+        for j in range(max(1, i - limit), min(len(b), i + limit) + 1):
+            d = min(old.get(j, far) + 1, new.get(j - 1, far) + 1, old.get(j - 1, far) + (a[i - 1] != b[j - 1]))
             if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                rows[i][j] = min(rows[i][j], rows[i - 2][j - 2] + 1)
-    return rows[-1][-1] <= limit
+                d = min(d, older.get(j - 2, far) + 1)
+            new[j] = d
+        if min(new.values()) > limit:
+            return False
+        older, old = old, new
+    return old.get(len(b), far) <= limit
 
 
 def _same_statement(x: list[str], y: list[str], share, loose: bool) -> bool:
@@ -244,6 +253,18 @@ def light_edit(a: str, b: str, share) -> bool:
     return kept >= 1 and alone + len(right) <= max(2, kept)
 
 
+def candidates(post: DataFrame, threshold: float) -> DataFrame:
+    """(kind, train_tid, held_tid, ...) of pairs of postings on the same list whose bound reaches the threshold."""
+    least = threshold - 1e-4
+    top = lambda side, c: F.max(F.when(F.col(side), F.col(c))).alias(f"{side}_{c}")
+    lists = post.groupBy("kind", "term").agg(top("train", "w"), top("train", "rest"), top("held", "w"), top("held", "rest")).where("train_w is not null and held_w is not null")
+    kept = post.join(lists, ["kind", "term"])
+    reach = lambda other: F.col("w") * F.col(f"{other}_w") + F.col("rest") * F.col(f"{other}_rest") >= least
+    a = kept.where(F.col("train") & reach("held")).select("kind", "term", F.col("tid").alias("train_tid"), F.col("w").alias("wa"), F.col("rest").alias("ra"))
+    b = kept.where(F.col("held") & reach("train")).select("kind", "term", F.col("tid").alias("held_tid"), F.col("w").alias("wb"), F.col("rest").alias("rb"))
+    return a.join(b, ["kind", "term"]).where((F.col("train_tid") != F.col("held_tid")) & (F.col("wa") * F.col("wb") + F.col("ra") * F.col("rb") >= least))
+
+
 def similar_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(kind, train_tid, held_tid, cosine) of pairs of different texts between the sides that are light edits."""
     spark = texts.sparkSession
@@ -251,9 +272,7 @@ def similar_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     weight = spark.sparkContext.broadcast(weights(total, counts))
     shares = spark.sparkContext.broadcast((counts / np.repeat(np.maximum(total, 1), BUCKETS)).astype(np.float32))
     post = cut_lineage(postings(texts, weight, threshold))
-    a = post.where("train").select("kind", "term", F.col("tid").alias("train_tid"), F.col("w").alias("wa"), F.col("rest").alias("ra"))
-    b = post.where("held").select("kind", "term", F.col("tid").alias("held_tid"), F.col("w").alias("wb"), F.col("rest").alias("rb"))
-    found = a.join(b, ["kind", "term"]).where((F.col("train_tid") != F.col("held_tid")) & (F.col("wa") * F.col("wb") + F.col("ra") * F.col("rb") >= threshold - 1e-4))
+    found = candidates(post, threshold)
     found = found.select("kind", "train_tid", "held_tid").distinct()
     t = texts.select("kind", "tid", "text")
     found = found.join(t.withColumnsRenamed({"tid": "train_tid", "text": "train_text"}), ["kind", "train_tid"])
@@ -288,23 +307,53 @@ def similar_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return found.mapInPandas(run, "kind int, train_tid binary, held_tid binary, cosine double")
 
 
-def overlapping_families(families: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(train_family, held_family, reason) of all pairs between train and dev or test; reason: source, query, evidence."""
+def linked_texts(families: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(members, links): family_id, train, kind, tid of every family's texts; kind, train_tid, held_tid of text classes that are the same or light edits between the sides."""
     member = cut_lineage(membership(families))
     texts = member.groupBy("kind", "tid").agg(F.first("text").alias("text"), F.max("train").alias("train"), F.max(~F.col("train")).alias("held"))
     texts = cut_lineage(texts)
     near = similar_texts(texts, threshold).select("kind", "train_tid", "held_tid")
     same = texts.where("train and held").select("kind", F.col("tid").alias("train_tid"), F.col("tid").alias("held_tid"))
-    links = near.unionByName(same)
-    m = member.select("family_id", "train", "kind", "tid").distinct()
+    return member.select("family_id", "train", "kind", "tid").distinct(), near.unionByName(same)
+
+
+def _reason(kind: str = "kind") -> Column:
+    return F.when(F.col(kind) == 0, "query").otherwise("evidence")
+
+
+def sources(families: DataFrame) -> DataFrame:
+    return sides(families).where("source_sample_id is not null").select("family_id", "train", "source_sample_id").distinct()
+
+
+def overlapping_families(families: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(train_family, held_family, reason) of all pairs between train and dev or test; reason: source, query, evidence."""
+    m, links = linked_texts(families, threshold)
     left = m.where("train").select("kind", F.col("tid").alias("train_tid"), F.col("family_id").alias("train_family"))
     right = m.where("not train").select("kind", F.col("tid").alias("held_tid"), F.col("family_id").alias("held_family"))
-    by_text = links.join(left, ["kind", "train_tid"]).join(right, ["kind", "held_tid"]).select("train_family", "held_family", F.when(F.col("kind") == 0, "query").otherwise("evidence").alias("reason"))
-    s = sides(families).where("source_sample_id is not null").select("family_id", "train", "source_sample_id").distinct()
+    by_text = links.join(left, ["kind", "train_tid"]).join(right, ["kind", "held_tid"]).select("train_family", "held_family", _reason().alias("reason"))
+    s = sources(families)
     by_source = s.where("train").select("source_sample_id", F.col("family_id").alias("train_family")).join(s.where("not train").select("source_sample_id", F.col("family_id").alias("held_family")), "source_sample_id")
     return by_text.unionByName(by_source.select("train_family", "held_family", F.lit("source").alias("reason"))).where("train_family <> held_family").distinct()
 
 
+def overlap_report(families: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """split, dataset, reason, families (held-out ones with an overlap), links (of a held family by one of its texts, or by its source, to a train family).
+
+    Counted from classes: how many train families hold a text or source is summed up first and then met once per held family, so that a text that
+    100,000 train families share is one row. Split and dataset of a family are those of its first export.
+    """
+    m, links = linked_texts(families, threshold)
+    held = lambda n: F.count(F.lit(1)).alias(n)
+    in_train = m.where("train").groupBy("kind", F.col("tid").alias("train_tid")).agg(held("n"))
+    partners = links.join(in_train, ["kind", "train_tid"]).groupBy("kind", F.col("held_tid").alias("tid")).agg(F.sum("n").alias("n"))
+    by_text = m.where("not train").join(partners, ["kind", "tid"]).select("family_id", _reason().alias("reason"), "n")
+    s = sources(families)
+    by_source = s.where("not train").join(s.where("train").groupBy("source_sample_id").agg(held("n")), "source_sample_id").select("family_id", F.lit("source").alias("reason"), "n")
+    of = first_wins(sides(families).where("not train").select("family_id", "ord", "split", "dataset"), ["family_id"], ["ord"])
+    each = by_text.unionByName(by_source).groupBy("family_id", "reason").agg(F.sum("n").alias("n"))
+    return each.join(of, "family_id").groupBy("split", "dataset", "reason").agg(F.count(F.lit(1)).alias("families"), F.sum("n").alias("links"))
+
+
 def found_pairs(families: DataFrame) -> DataFrame:
     """Distinct pairs (family_a, family_b), the smaller id first."""
     return overlapping_families(families).select(F.least("train_family", "held_family").alias("family_a"), F.greatest("train_family", "held_family").alias("family_b")).distinct()

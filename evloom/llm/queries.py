@@ -32,10 +32,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_per_split(spark: SparkSession, d: str) -> DataFrame:
-    """Overlapping held-out families and pairs per split, dataset and reason."""
-    families = table(spark, d, "families")
-    of = families.select("family_id", "split", "dataset").dropDuplicates(["family_id"]).withColumnRenamed("family_id", "held_family")
-    return overlaps.overlapping_families(families).join(of, "held_family").groupBy("split", "dataset", "reason").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("held_family").alias("families"))
+    """Overlapping held-out families and their links per split, dataset and reason."""
+    return overlaps.overlap_report(table(spark, d, "families"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -48,13 +48,53 @@ def test_overlaps_against_all_pairs(spark):
                 if dot >= threshold + 1e-6:
                     want.add((a[1], b[1]))
     weight = spark.sparkContext.broadcast(w)
-    post = overlaps.postings(texts, weight, threshold)
-    a = post.where("train").select("kind", "term", F.col("tid").alias("l"), F.col("w").alias("wa"), F.col("rest").alias("ra"))
-    b = post.where("held").select("kind", "term", F.col("tid").alias("r"), F.col("w").alias("wb"), F.col("rest").alias("rb"))
-    got = {(bytes(r.l), bytes(r.r)) for r in a.join(b, ["kind", "term"]).where("l <> r").where(F.col("wa") * F.col("wb") + F.col("ra") * F.col("rb") >= threshold - 1e-4).select("l", "r").distinct().collect()}
+    post = overlaps.postings(texts, weight, threshold).cache()
+    got = {(bytes(r.train_tid), bytes(r.held_tid)) for r in overlaps.candidates(post, threshold).select("train_tid", "held_tid").distinct().collect()}
     assert want <= got and share("x") == 0
 
 
+def test_similar_texts_against_all_pairs(spark):
+    """similar_texts itself, on the smallest tables: every pair of texts whose plain cosine reaches the threshold and that is a light edit."""
+    families = table(spark, "/root/testdata/sf0.001", "families")
+    texts = overlaps.membership(families).groupBy("kind", "tid").agg(F.first("text").alias("text"), F.max("train").alias("train"), F.max(~F.col("train")).alias("held")).cache()
+    total, counts = overlaps.frequencies(texts)
+    w = overlaps.weights(total, counts)
+    import numpy as np
+    import pyarrow as pa
+
+    rows = []
+    for r in texts.collect():
+        h, _ = words.words(pa.array([r.text]), unified=True)
+        h = np.unique(h)
+        b = overlaps._bucket(h) + r.kind * overlaps.BUCKETS
+        rows.append((r.kind, bytes(r.tid), r.train, r.held, r.text, dict(zip(h.tolist(), (w[b] / np.linalg.norm(w[b])).tolist()))))
+    shares = counts / np.repeat(np.maximum(total, 1), overlaps.BUCKETS)
+
+    def share(kind):
+        return lambda word: max((float(shares[overlaps._bucket(np.array([x], np.uint64))[0] + kind * overlaps.BUCKETS]) for x in words.words(pa.array([word]), unified=True)[0]), default=1.0)
+
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[1] != b[1] and a[2] and b[3] and sum(x * b[5].get(k, 0.0) for k, x in a[5].items()) >= overlaps.THRESHOLD + 1e-4 and overlaps.light_edit(a[4], b[4], share(a[0])):
+                want.add((a[0], a[1], b[1]))
+    got = {(r.kind, bytes(r.train_tid), bytes(r.held_tid)) for r in overlaps.similar_texts(texts).collect()}
+    assert want and len(want & got) >= 0.99 * len(want)
+
+
+def test_hot_text_is_reported_from_classes(spark):
+    """A query that 100,000 train families share: ten held families give ten rows to the report's sums, not a million pairs."""
+    hot = "What was the founder of Old Tavi Museum?"
+    state = "named_struct('state', 'FULL', 'evidence', CAST(NULL AS array<struct<document_id string, title string, text string>>)) AS full_state"
+    many = spark.range(100_010).selectExpr("id AS ord", "concat('f', id) AS family_id", "concat('s', id) AS source_sample_id", "'d' AS dataset", "CASE WHEN id < 10 THEN 'dev' ELSE 'train' END AS split", f"'{hot}' AS query", state)
+    assert [tuple(r) for r in overlaps.overlap_report(many).select("split", "dataset", "reason", "families", "links").collect()] == [("dev", "d", "query", 10, 1_000_000)]
+
+
+def test_close_has_no_length_limit():
+    a = "x" * 500 + "abc" + "y" * 500
+    assert overlaps._close(a, a.replace("abc", "acb"), 1) and not overlaps._close(a, a.replace("abc", "zzz"), 2) and overlaps._close("mill", "mil", 1) and not overlaps._close("mill", "mlil", 0) and overlaps._close("", "ab", 2)
+
+
 def test_overlap_cases(spark):
     long = "Zoru Mavela is a listed planetarium in the district of Hepo Lunar, opened in 1874. The earliest ticket, numbered 812, is kept by Ruvo Telim. After the flood of 1901 the patron moved the archive to Selu Gand."
     moved = "ZORU MAVELA is a listed planetarium in the district of Hepo Lunar, opened in 1874. After the flood of 1901 the patron moved the archve to Selu Gand. The earliest ticket, numbered 812, is kept by Ruvo Telim. [2]"
