@@ -173,7 +173,8 @@ def test_ids_equal_and_round_trip(spark):
     plain = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
     plain.encode_special_tokens = True
     want = sorted((i // 2, plain.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts))
-    for chunk, overlap in ((1 << 16, 1 << 11), (300, 60), (50, 5)):
+    assert all(len(t or "") < 1 << 16 for t in texts)
+    for chunk, overlap in ((1 << 16, 1 << 11), (300, 60), (50, 8)):
         got = sorted((x.doc_id, x.ids) for x in tokens.encode(df, chunk=chunk, overlap=overlap).collect())
         assert got == want
     for t in texts:
@@ -182,6 +183,18 @@ def test_ids_equal_and_round_trip(spark):
     assert tokens.encode(df.limit(0)).count() == 0
 
 
+def test_long_texts_of_any_script_are_cut(spark):
+    """Chinese, Russian and Thai without blanks between sign and Latin letter come in many pieces; a run of one letter stays whole; ids are those of the whole text."""
+    texts = ["档案中保存着信件和地图。" * 300, "Архив хранится в музее;в нём письма." * 100, "กขค" * 900, "a" * 4000 + " b" * 500, "🙂—„“" * 700 + "é", "x\n\n  \t y" * 400]
+    enc = tokens.encoding(tokens.TOKENIZER)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in tokens.encode(df, chunk=500, overlap=40).collect()}
+    assert got == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+    for t in texts[:2]:
+        head, tail = tokens.boundaries(t[500:1040], False, False, 500, 40)
+        assert {x - 500 for x in tail} & set(tokens.boundaries(t[1000:1540], False, False, 500, 40)[0])
+
+
 DOC = "doc_id long, text string, source string, tokens string, key int"
 
 
