@@ -257,3 +257,39 @@ def test_action_fields_are_read_whole(spark):
     fields = spark.createDataFrame([(f"A{i:04}", "reason") for i in range(1200)] + [("Z", "clarification")], "action string, content_field string")
     df = spark.createDataFrame([(1, "q?", "r", ("Z", "full text here", "", "r")), (2, "q?", "r", ("A1199", "", "", "Fine as it is."))], "response_id long, query string, raw_response string, parsed struct<action string, answer string, clarification string, reason string>")
     assert [tuple(r) for r in responses.defects(df, fields).collect()] == [(1, "empty")]
+
+
+def test_deep_cuts_meet_their_originals(spark):
+    """A text that lost three quarters, behind another preface and layout, and a very long one with a word changed, are cut by the copy that goes on; complete copies are not."""
+    story = " ".join(f"w{i} v{i * 7 % 11} of the" for i in range(60))
+    whole = '{"answer": "Rika", "reason": "' + story + '."}'
+    pretty = 'Here is it:\n```json\n{\n "answer": "Rika",\n "reason": "' + story + '."\n}\n```'
+    long = " ".join(f"x{i % 997} y{i}" for i in range(6000))
+    reworded = long.split()
+    reworded[20] = "other"
+    rows = [[(1, whole, None)], [(1, pretty, None)], [(1, pretty[: len(pretty) // 4], None)], [(1, "log: " + long + " and more of it.", None)], [(1, "log: " + " ".join(reworded[:9000]), None)], [(1, None, None)]]
+    got = {r.delivery_id: r.evidence for r in truncation.truncated(calls(spark, rows)).collect()}
+    assert got == {2: "copy", 4: "copy"}
+
+
+def test_a_missing_stop_is_no_cut(spark):
+    rows = [[(1, "the records of the old mill near the river name Rika Moss", None)], [(1, "the records of the old mill near the river name Rika Moss. It burnt down.", None)], [(1, "the records of the old mill near the river name Ri", None)]]
+    assert {r.delivery_id for r in truncation.truncated(calls(spark, rows)).collect()} == {2}
+
+
+def test_brackets_behind_a_cut():
+    assert truncation.ending('{"reason": "It was sold to the mill. The remaining evid"}', "raw_response") == "prose" and truncation.ending('{"reason": "It was sold to the mill.\\n"}', "raw_response") == "closed"
+    assert truncation.ending('{"answer": "Rika Moss"}', "raw_response") == "closed" and truncation.unmarked("It is" + " " * 500 + "[truncated]" + " " * 500 + "…") == ("It is", True)
+
+
+def test_ends_early_against_a_table():
+    r = random.Random(7)
+    for _ in range(400):
+        cut, whole = ([r.choice("abc") for _ in range(r.randrange(1, 14))] for _ in range(2))
+        best = [[0] * (len(whole) + 1) for _ in range(len(cut) + 1)]
+        for i, x in enumerate(cut, 1):
+            for j, y in enumerate(whole, 1):
+                best[i][j] = best[i - 1][j - 1] + 1 if x == y else max(best[i - 1][j], best[i][j - 1])
+        n = best[-1][-1]
+        want = n > 0 and best[-2][-1] < n and best[-1][-2] == n if best else False
+        assert truncation.ends_early(cut, whole) == want, (cut, whole)
