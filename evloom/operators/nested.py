@@ -5,10 +5,10 @@ own fields in key order, with child objects replaced by their identities. Equal
 are stored once (`objects`); every occurrence stays as a bridge row (`occurrences`) with its parent, field and ordinal.
 
 Parsing needs Python (shapes vary from record to record); it runs batchwise over Arrow, one pass, and the rest is JVM.
-Typed nested columns (structs and arrays of a Parquet table) are flattened by JVM generators alone; they have no Merkle
-identities: a request body has one hash over the whole of it, attempts, evidence and edits are rows by parent and position.
+Typed nested columns (structs and arrays of a Parquet table) are flattened by JVM generators for tables of one kind; their Merkle identities come from
+the same canonical form, written by to_json without NULL fields (typed_occurrences), so that an object has one identity whether it was typed or text.
 
-Defined results: NULL, blank or invalid JSON, or JSON nested beyond the parser's depth gives no rows; a field that is
+Defined results: NULL, blank or invalid JSON, or JSON nested beyond the parser's depth gives no rows here, and one row of `rejected`; a field that is
 absent or null, and an empty list, give no rows; a null or scalar element keeps its position and gives no row; of a key
 written twice the last counts; a record that comes twice gives its rows twice.
 """
@@ -20,9 +20,11 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import request_hash
+
 #: Lists (or objects where others hold a list) whose positions make up a node's address.
 COUNTED = ("attempts", "errors", "spans")
 #: entity: (field, field that holds the parent; None: any)
@@ -46,22 +48,22 @@ def merkle(record: object) -> list[dict]:
     """All objects of a parsed record, children before parents; content is the canonical own form."""
     out: list[dict] = []
 
-    def visit(obj: dict, field: str, holder: str, path: str, up: str | None, ordinal: int, address: tuple[int, ...]) -> str:
+    def visit(obj: dict, field: str, holder: str, path: str, up: str | None, ordinal: int, address: tuple[int, ...], siblings: list[dict]) -> str:
         own = {}
-        start = len(out)
+        kids: list[dict] = []
         for key in sorted(obj):
-            own[key] = value(obj[key], key, field, f"{path}.{key}", path, address)
+            own[key] = value(obj[key], key, field, f"{path}.{key}", path, address, kids)
         content = json.dumps(own, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
         digest = hashlib.sha256(content.encode("utf-8", "surrogatepass")).hexdigest()
-        for row in out[start:]:
-            if row["parent_path"] == path:
-                row["parent_id"] = digest
+        for row in kids:
+            row["parent_id"] = digest
         entity = _BY_FIELD.get((field, holder)) or field
         node = ".".join(map(str, address)) if field in COUNTED else str(ordinal)
         out.append({"object_id": digest, "parent_id": None, "path": path, "parent_path": up, "field": field, "ordinal": ordinal, "entity": entity, "node": node, "content": content})
+        siblings.append(out[-1])
         return digest
 
-    def value(x: object, key: str, holder: str, path: str, up: str, address: tuple[int, ...]) -> object:
+    def value(x: object, key: str, holder: str, path: str, up: str, address: tuple[int, ...], kids: list[dict]) -> object:
         if key in AS_TEXT and isinstance(x, str):
             try:
                 parsed = json.loads(x)
@@ -69,20 +71,20 @@ def merkle(record: object) -> list[dict]:
                 parsed = None
             x = parsed if isinstance(parsed, dict) else x
         if isinstance(x, dict):
-            return {"#": visit(x, key, holder, f"{path}[1]", up, 1, (*address, 1) if key in COUNTED else address)}
+            return {"#": visit(x, key, holder, f"{path}[1]", up, 1, (*address, 1) if key in COUNTED else address, kids)}
         if isinstance(x, list):
-            return [items(y, k, key, holder, path, up, address) for k, y in enumerate(x, 1)]
+            return [items(y, k, key, holder, path, up, address, kids) for k, y in enumerate(x, 1)]
         return x
 
-    def items(y: object, k: int, key: str, holder: str, path: str, up: str, address: tuple[int, ...]) -> object:
+    def items(y: object, k: int, key: str, holder: str, path: str, up: str, address: tuple[int, ...], kids: list[dict]) -> object:
         if isinstance(y, dict):
-            return {"#": visit(y, key, holder, f"{path}[{k}]", up, k, (*address, k) if key in COUNTED else address)}
+            return {"#": visit(y, key, holder, f"{path}[{k}]", up, k, (*address, k) if key in COUNTED else address, kids)}
         if isinstance(y, list):
-            return [items(z, j, key, holder, f"{path}[{k}]", up, address) for j, z in enumerate(y, 1)]
+            return [items(z, j, key, holder, f"{path}[{k}]", up, address, kids) for j, z in enumerate(y, 1)]
         return y
 
     if isinstance(record, dict):
-        visit(record, "record", "", "$", None, 1, ())
+        visit(record, "record", "", "$", None, 1, (), [])
     return out
 
 
@@ -111,6 +113,33 @@ def occurrences(df: DataFrame, id_col: str, payload: str) -> DataFrame:
     return source.mapInArrow(run, f"rid {kind}, {OCCURRENCE}").withColumnRenamed("rid", id_col)
 
 
+def typed_occurrences(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """occurrences of typed nested columns: a record is an object of the columns that are not NULL."""
+    return occurrences(df.select(id_col, F.to_json(F.struct(*columns)).alias("payload")), id_col, "payload")
+
+
+def rejected(df: DataFrame, id_col: str, payload: str) -> DataFrame:
+    """id_col, reason of every record that gives no rows: EMPTY (NULL or blank), NOT_JSON, TOO_DEEP (for the parser), NO_OBJECT (JSON of another kind)."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def why(text: str | None) -> str | None:
+        if text is None or not text.strip():
+            return "EMPTY"
+        try:
+            return None if isinstance(json.loads(text), dict) else "NO_OBJECT"
+        except RecursionError:
+            return "TOO_DEEP"
+        except ValueError:
+            return "NOT_JSON"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([why(t) for t in batch.column(1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["rid", "reason"]).filter(found.is_valid())
+
+    return df.select(F.col(id_col).alias("rid"), F.col(payload).alias("payload")).mapInArrow(run, f"rid {kind}, reason string").withColumnRenamed("rid", id_col)
+
+
 def objects(occ: DataFrame) -> DataFrame:
     """Each distinct object once, with how often it occurs; partial aggregation keeps hot objects off the shuffle."""
     return occ.groupBy("object_id").agg(F.first("entity").alias("entity"), F.first("content").alias("content"), F.count(F.lit(1)).alias("occurrences"))
@@ -136,10 +165,15 @@ def structural_errors_table(calls: DataFrame) -> DataFrame:
         "delivery_id", "attempt_ordinal", (F.col("k") + 1).alias("ordinal"), "error")
 
 
+def _identity(calls: DataFrame, column: str) -> Column:
+    """SHA-256 of the canonical JSON of a request body."""
+    return request_hash(F.col(column), calls.schema["request_body"].dataType)
+
+
 def request_bodies(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     """calls.request_body as (objects, bridge): distinct bodies by identity, and the delivery that holds each."""
     held = calls.where("request_body is not null").select("delivery_id", F.col("request_body").alias("b"))
-    held = held.withColumn("body_id", F.sha2(F.to_json("b"), 256))
+    held = held.withColumn("body_id", _identity(calls, "b"))
     distinct = held.groupBy("body_id").agg(F.first("b").alias("b"), F.count(F.lit(1)).alias("deliveries")).select(
         "body_id", "deliveries", F.col("b.temperature").alias("temperature"), F.col("b.top_p").alias("top_p"), F.col("b.max_tokens").alias("max_tokens"),
         F.col("b.seed").alias("seed"), F.array_join("b.stop", "|").alias("stop"), F.col("b.chat_template_kwargs.enable_thinking").alias("enable_thinking"),
@@ -153,7 +187,7 @@ def request_objects(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     A list that is NULL, and one that is empty, have no elements; bodies tells them apart by the lists' lengths.
     """
-    held = calls.where("request_body is not null").select("delivery_id", F.col("request_body").alias("b")).withColumn("body_id", F.sha2(F.to_json("b"), 256))
+    held = calls.where("request_body is not null").select("delivery_id", F.col("request_body").alias("b")).withColumn("body_id", _identity(calls, "b"))
     distinct = held.groupBy("body_id").agg(F.first("b").alias("b"), F.count(F.lit(1)).alias("deliveries"))
     schema = F.col("b.response_format.json_schema")
     length = lambda x: F.when(x.isNotNull(), F.size(x))
@@ -177,5 +211,6 @@ def states_table(families: DataFrame) -> DataFrame:
     s = F.col("initial_state")
     return families.where(s.isNotNull()).select(
         "ord", "family_id", s["state"].alias("state"), s["missing_information"].alias("missing_information"), s["conflict_target"].alias("conflict_target"),
+        s["original_claim"].alias("original_claim"), s["conflicting_claim"].alias("conflicting_claim"),
         s["original_value"].alias("original_value"), s["conflicting_value"].alias("conflicting_value"), s["minimal_edit"]["document_id"].alias("edit_document_id"),
         s["minimal_edit"]["original_span"].alias("original_span"), s["minimal_edit"]["replacement_span"].alias("replacement_span"), s["minimal_edit"]["appended_text"].alias("appended_text"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import messages, nested
 from ..session import table
+from .text_queries import REQUEST_BODY, canonical_sql
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,14 +84,44 @@ def p6_structural_errors(spark: SparkSession, d: str) -> DataFrame:
     return nested.structural_errors_table(table(spark, d, "calls"))
 
 
+def p6_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Records without rows, and why."""
+    return nested.rejected(table(spark, d, "raw_records"), "record_id", "payload")
+
+
+def p6_error_codes(spark: SparkSession, d: str) -> DataFrame:
+    """The code of every error, from the objects that the occurrences point to: objects stand once, occurrences keep every place."""
+    occ = p6_occurrences(spark, d).where("entity = 'error'")
+    codes = nested.objects(occ).select("object_id", F.get_json_object("content", "$.code").alias("code"))
+    return occ.select("record_id", "node", "object_id").join(codes, "object_id").select("record_id", "node", "code")
+
+
+def p6_call_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct object of attempts and request bodies of calls, once."""
+    return nested.objects(nested.typed_occurrences(table(spark, d, "calls"), "delivery_id", ["attempts", "request_body"]))
+
+
+def p6_call_bridge(spark: SparkSession, d: str) -> DataFrame:
+    return nested.bridge(nested.typed_occurrences(table(spark, d, "calls"), "delivery_id", ["attempts", "request_body"]), "delivery_id")
+
+
+def p6_state_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct object of initial states, evidence and edits of families, once."""
+    return nested.objects(nested.typed_occurrences(table(spark, d, "families"), "ord", ["initial_state"]))
+
+
+def p6_state_bridge(spark: SparkSession, d: str) -> DataFrame:
+    return nested.bridge(nested.typed_occurrences(table(spark, d, "families"), "ord", ["initial_state"]), "ord")
+
+
 def p6_request_bodies(spark: SparkSession, d: str) -> DataFrame:
-    distinct, _ = nested.request_bodies(table(spark, d, "calls"))
-    return distinct.drop("body_id")
+    """Distinct request bodies under their identity."""
+    return nested.request_bodies(table(spark, d, "calls"))[0]
 
 
 def p6_request_bridge(spark: SparkSession, d: str) -> DataFrame:
-    _, bridge = nested.request_bodies(table(spark, d, "calls"))
-    return bridge.groupBy("body_id").agg(F.count(F.lit(1)).alias("deliveries")).groupBy("deliveries").agg(F.count(F.lit(1)).alias("bodies"))
+    """The body of every delivery."""
+    return nested.request_bodies(table(spark, d, "calls"))[1]
 
 
 def p6_request_objects(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +147,9 @@ def p6_edits(spark: SparkSession, d: str) -> DataFrame:
     return nested.states_table(table(spark, d, "families"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_objects, p6_bridge, p6_entity_counts, p6_attempts, p6_structural_errors, p6_request_bodies, p6_request_bridge, p6_request_objects, p6_request_lists, p6_request_deliveries, p6_evidence, p6_edits, p7_found, p7_kept, p7_per_batch)}
+_BODY = f"sha256({canonical_sql('b', REQUEST_BODY)})"
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_objects, p6_bridge, p6_entity_counts, p6_rejects, p6_error_codes, p6_call_objects, p6_call_bridge, p6_state_objects, p6_state_bridge, p6_attempts, p6_structural_errors, p6_request_bodies, p6_request_bridge, p6_request_objects, p6_request_lists, p6_request_deliveries, p6_evidence, p6_edits, p7_found, p7_kept, p7_per_batch)}
 
 SQL = {
     "p7_found": _P7 + "SELECT delivery_id FROM r WHERE again",
@@ -130,14 +163,25 @@ SQL = {
     "p6_structural_errors": """SELECT delivery_id, ak AS attempt_ordinal, k AS ordinal, error FROM (
         SELECT delivery_id, ak, unnest(a.structural_errors) AS error, unnest(range(1, len(a.structural_errors) + 1))::INT AS k FROM (
         SELECT delivery_id, unnest(attempts) AS a, unnest(range(1, len(attempts) + 1))::INT AS ak FROM calls)) WHERE error IS NOT NULL""",
-    "p6_request_bodies": """SELECT count(*) AS deliveries, b.temperature AS temperature, b.top_p AS top_p, b.max_tokens AS max_tokens, b.seed AS seed,
+    "p6_request_bodies": f"""SELECT {_BODY} AS body_id, count(*) AS deliveries, b.temperature AS temperature, b.top_p AS top_p, b.max_tokens AS max_tokens, b.seed AS seed,
         array_to_string(b.stop, '|') AS stop, b.chat_template_kwargs.enable_thinking AS enable_thinking, b.chat_template_kwargs.thinking_budget AS thinking_budget,
         b.response_format.type AS format_type, b.response_format.json_schema.name AS schema_name, array_to_string(b.response_format.json_schema.required, '|') AS required
         FROM (SELECT request_body AS b FROM calls WHERE request_body IS NOT NULL) GROUP BY b""",
-    "p6_request_bridge": """SELECT deliveries, count(*) AS bodies FROM (SELECT request_body, count(*) AS deliveries FROM calls WHERE request_body IS NOT NULL GROUP BY 1) GROUP BY 1""",
+    "p6_request_bridge": f"SELECT delivery_id, {_BODY} AS body_id FROM (SELECT delivery_id, request_body AS b FROM calls WHERE request_body IS NOT NULL)",
+    "p6_request_deliveries": f"SELECT delivery_id, {_BODY} AS body_id FROM (SELECT delivery_id, request_body AS b FROM calls WHERE request_body IS NOT NULL)",
+    "p6_request_objects": f"""SELECT {_BODY} AS body_id, count(*) AS deliveries, b.temperature AS temperature, b.top_p AS top_p, b.max_tokens AS max_tokens, b.seed AS seed, len(b.stop)::INT AS stop_length,
+        b.chat_template_kwargs.enable_thinking AS enable_thinking, b.chat_template_kwargs.thinking_budget AS thinking_budget, b.response_format.type AS format_type,
+        b.response_format.json_schema.name AS schema_name, b.response_format.json_schema.strict AS strict, len(b.response_format.json_schema.required)::INT AS required_length
+        FROM (SELECT request_body AS b FROM calls WHERE request_body IS NOT NULL) GROUP BY b""",
+    "p6_request_lists": f"""WITH o AS (SELECT DISTINCT {_BODY} AS body_id, b FROM (SELECT request_body AS b FROM calls WHERE request_body IS NOT NULL)),
+        l AS (SELECT body_id, 'stop' AS list, b.stop AS x FROM o UNION ALL SELECT body_id, 'required', b.response_format.json_schema.required FROM o)
+        SELECT body_id, list, unnest(range(1, len(x) + 1))::INT AS ordinal, unnest(x) AS element FROM l""",
+    "p6_rejects": """SELECT record_id, CASE WHEN payload IS NULL OR trim(payload) = '' THEN 'EMPTY' WHEN try_cast(payload AS JSON) IS NULL THEN 'NOT_JSON' ELSE 'NO_OBJECT' END AS reason
+        FROM raw_records WHERE payload IS NULL OR trim(payload) = '' OR try_cast(payload AS JSON) IS NULL OR json_type(try_cast(payload AS JSON)) <> 'OBJECT'""",
+    "p6_error_codes": P6_PATHS + "SELECT record_id, node || '.' || k AS node, o->>'code' AS code FROM err WHERE json_type(o) = 'OBJECT'",
     "p6_evidence": """SELECT ord, family_id, k AS ordinal, e.document_id AS document_id, e.title AS title, e.text AS text FROM (
         SELECT ord, family_id, unnest(initial_state.evidence) AS e, unnest(range(1, len(initial_state.evidence) + 1))::INT AS k FROM families) WHERE e IS NOT NULL""",
-    "p6_edits": """SELECT ord, family_id, s.state AS state, s.missing_information AS missing_information, s.conflict_target AS conflict_target, s.original_value AS original_value,
+    "p6_edits": """SELECT ord, family_id, s.state AS state, s.missing_information AS missing_information, s.conflict_target AS conflict_target, s.original_claim AS original_claim, s.conflicting_claim AS conflicting_claim, s.original_value AS original_value,
         s.conflicting_value AS conflicting_value, s.minimal_edit.document_id AS edit_document_id, s.minimal_edit.original_span AS original_span,
         s.minimal_edit.replacement_span AS replacement_span, s.minimal_edit.appended_text AS appended_text
         FROM (SELECT ord, family_id, initial_state AS s FROM families WHERE initial_state IS NOT NULL)""",
