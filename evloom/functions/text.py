@@ -189,21 +189,27 @@ def unfence(x: Column | str) -> Column:
     return F.when(t.startswith("```"), F.regexp_replace(F.regexp_replace(t, r"(?i)^```[ \t\r\n]*(?:json|text)?\s*", ""), r"\s*```$", "")).otherwise(t)
 
 
+def is_json_object(x: Column) -> Column:
+    """Whether a text is one JSON object and nothing behind it: as the first of two values of a list, since the parser stops at the end of a value."""
+    both = F.try_parse_json(F.concat(F.lit("["), x, F.lit(",1]")))
+    return F.coalesce(F.ltrim(x).startswith("{") & (F.try_variant_get(both, "$[1]", "int") == 1), F.lit(False))
+
+
 def json_object(x: Column | str) -> Column:
     """A JSON object as text: strictly, else from the first brace to the last; NULL if neither parses."""
     t = unfence(x)
     inner = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
-    whole = F.when(t.startswith("{") & F.json_object_keys(t).isNotNull(), t)
-    return F.coalesce(whole, F.when(inner.startswith("{") & F.json_object_keys(inner).isNotNull(), inner))
+    whole = F.when(is_json_object(t), t)
+    return F.coalesce(whole, F.when(is_json_object(inner), inner))
 
 
 def predicted_answer(x: Column | str) -> Column:
     """The field answer of a JSON object, else the first line that is not blank without its label and quotation marks."""
     t = unfence(x)
     field = F.trim(F.get_json_object(t, "$.answer"))
-    line = F.coalesce(F.get(F.filter(F.transform(F.split(text(x), r"[\r\n]"), F.trim), lambda s: s != ""), 0), F.lit(""))
+    line = F.coalesce(F.get(F.filter(F.transform(F.split(text(x), r"[\r\n]"), lambda s: F.trim(s)), lambda s: s != ""), 0), F.lit(""))
     line = F.regexp_replace(line, r"(?i)^(?:answer|final answer|答案)\s*[:：]\s*", "")
-    return F.coalesce(F.when(t.startswith("{"), field), F.regexp_replace(F.trim(line), r'^"+|"+$', ""))
+    return F.coalesce(F.when(is_json_object(t), field), F.regexp_replace(F.trim(line), r'^"+|"+$', ""))
 
 
 def action(x: Column | str) -> Column:

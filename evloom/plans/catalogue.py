@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import gate_queries, nested_queries, record_queries, score_queries, text_queries
+from . import gate_queries, nested_queries, record_queries, score_queries, source_queries, text_queries
 
-MODULES = (nested_queries, text_queries, record_queries, score_queries, gate_queries)
+MODULES = (nested_queries, text_queries, record_queries, score_queries, gate_queries, source_queries)
 FLAGSHIP = "p7_kept"
 
 

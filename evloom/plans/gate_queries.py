@@ -49,6 +49,12 @@ def audit_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return audits(spark, d).select("delivery_id", "attempt", rules.all_true(dims).alias("passed"), F.greatest(F.coalesce(F.size("p.failure_codes"), F.lit(0)), F.lit(0)).cast("long").alias("codes"))
 
 
+@query(f"WITH {_AUDITS} SELECT delivery_id, attempt, coalesce((j->>'edit_is_local') = 'false' AND (j->>'target_absent') = 'false' AND (j->>'question_still_clear') = 'false', false) AS passed FROM av")
+def reverse_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """The reverse gate over the same dimensions, read as defects: it passes if every one is known and false."""
+    return audits(spark, d).select("delivery_id", "attempt", rules.none_true([F.col(f"p.{x}") for x in DIMENSIONS]).alias("passed"))
+
+
 @query(f"""WITH {_AUDITS}, g AS (SELECT sample_id, model_alias, bool_and(coalesce(ok, false)) AS passed FROM av GROUP BY ALL),
 s AS (SELECT DISTINCT sample_id FROM parent_samples)
 SELECT s.sample_id, array_to_string(list_filter([CASE WHEN a.passed IS NULL THEN 'A_ABSENT' WHEN NOT a.passed THEN 'A_FAILED' END, CASE WHEN b.passed IS NULL THEN 'B_ABSENT' WHEN NOT b.passed THEN 'B_FAILED' END], lambda x: x IS NOT NULL), ',') AS exclusions

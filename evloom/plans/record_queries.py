@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import rules, select
 from ..session import table
-from .text_queries import answer_sql, normal_sql, phrase_sql, squeeze_sql
+from .text_queries import answer_sql, fold_sql, normal_sql, phrase_sql, squeeze_sql
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -140,7 +140,15 @@ def response_contract(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "predictions").where(p.isNotNull()).select("response_id", F.array_join(why, ",").alias("broken"))
 
 
-@query()
+_REPEATS = f"""len(list_filter(after, lambda x: len(list_filter(list_transform(string_split(regexp_replace({squeeze_sql('x.text')}, '([.!?]) +', '\\1' || chr(30), 'g'), chr(30)), lambda p: trim(regexp_replace({fold_sql('p')}, '[^0-9a-zÀ-ž]+', ' ', 'g'))), lambda p: len(string_split(p, ' ')) >= 4)) >
+  len(list_distinct(list_filter(list_transform(string_split(regexp_replace({squeeze_sql('x.text')}, '([.!?]) +', '\\1' || chr(30), 'g'), chr(30)), lambda p: trim(regexp_replace({fold_sql('p')}, '[^0-9a-zÀ-ž]+', ' ', 'g'))), lambda p: len(string_split(p, ' ')) >= 4))))) > 0"""
+
+
+@query(f"""WITH e AS (SELECT ord, family_id, full_state.evidence AS before, initial_state.evidence AS after, initial_state.minimal_edit AS m FROM families WHERE initial_state.minimal_edit IS NOT NULL),
+c AS (SELECT *, list_transform(list_filter(range(1, greatest(len(before), len(after)) + 1), lambda i: before[i].text IS DISTINCT FROM after[i].text OR before[i].title IS DISTINCT FROM after[i].title), lambda i: coalesce(after[i].document_id, before[i].document_id)) AS changed FROM e)
+SELECT ord, family_id, array_to_string(list_filter([CASE WHEN len(before) <> len(after) THEN 'COUNT_CHANGED' END, CASE WHEN len(changed) <> 1 THEN 'NOT_ONE_DOCUMENT' END, CASE WHEN NOT list_contains(changed, m.document_id) THEN 'OTHER_DOCUMENT' END,
+  CASE WHEN m.original_span <> '' AND len(list_filter(after, lambda x: x.document_id = m.document_id AND contains(x.text, m.original_span))) > 0 THEN 'SPAN_REMAINS' END,
+  CASE WHEN m.appended_text <> '' AND len(list_filter(after, lambda x: x.document_id = m.document_id AND contains(x.text, m.appended_text))) = 0 THEN 'ADDITION_ABSENT' END, CASE WHEN {_REPEATS} THEN 'SENTENCE_REPEATED' END], lambda x: x IS NOT NULL), ',') AS broken FROM c""")
 def edit_check(spark: SparkSession, d: str) -> DataFrame:
     """Which documents an initial state changed against the full state, and whether its edit explains the change."""
     f = table(spark, d, "families").where("initial_state.minimal_edit is not null")

@@ -61,6 +61,35 @@ def token_f1(spark: SparkSession, d: str) -> DataFrame:
     return scored(spark, d).select("response_id", score.token_f1(F.col("said"), F.col("answer")).alias("f1"))
 
 
+@query(f"""WITH {SCORED}, al AS (SELECT response_id, {answer_sql('said')} AS p, i, {answer_sql('accepted[i]')} AS a FROM (SELECT response_id, said, accepted, unnest(range(1, len(accepted) + 1)) AS i FROM sc)),
+t AS (SELECT response_id, i, list_filter(string_split(p, ' '), lambda w: w <> '') AS p, list_filter(string_split(a, ' '), lambda w: w <> '') AS a FROM al),
+f AS (SELECT response_id, p, a, list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(a, lambda x: x = w))))) AS c FROM t)
+SELECT response_id, max(CASE WHEN len(p) + len(a) = 0 THEN 1.0 WHEN coalesce(c, 0) = 0 THEN 0.0 ELSE 2.0::DOUBLE * c / (len(p) + len(a)) END)::DOUBLE AS f1 FROM f GROUP BY response_id""")
+def best_f1(spark: SparkSession, d: str) -> DataFrame:
+    """The best token F1 over all accepted answers."""
+    return scored(spark, d).select("response_id", score.best_f1(F.col("said"), F.col("accepted")).alias("f1"))
+
+
+@query(f"""WITH {SCORED}, w AS (SELECT response_id, list_distinct(list_filter(string_split({plain_sql('asked')}, ' '), lambda w: w <> '' AND w NOT IN {_in_sql(T.CONTENT_STOP)})) AS said,
+  list_distinct(list_filter(string_split({plain_sql('missing')}, ' '), lambda w: w <> '' AND w NOT IN {_in_sql(T.CONTENT_STOP)})) AS ref, {phrase_sql(answer_sql('asked'), answer_sql('answer'))} AS named FROM sc WHERE asked <> '' AND state = 'MISSING')
+SELECT response_id, CASE WHEN named OR len(list_intersect(ref, said)) >= 2 THEN 'GAP_MATCH' WHEN len(list_intersect(ref, said)) = 1 THEN 'GAP_PARTIAL' ELSE 'GAP_MISMATCH' END AS label FROM w""")
+def gap_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a request names what is missing: by the answer, or by words it shares with the gap."""
+    s = scored(spark, d, "state = 'MISSING'").where("asked <> ''")
+    matched = F.size(F.array_intersect(T.content_words("missing"), T.content_words("asked")))
+    return s.select("response_id", score.mention_label(matched, T.contains_phrase(T.normal_answer("asked"), T.normal_answer("answer"))).alias("label"))
+
+
+@query(f"""WITH {SCORED}, e AS (SELECT model_alias, source_sample_id, avg(correct::INT) AS v FROM sc GROUP BY ALL), p AS (SELECT x.model_alias, x.source_sample_id AS id, x.v - b.v AS dv FROM e x JOIN e b USING (source_sample_id) WHERE b.model_alias = 'quill_8b' AND x.model_alias <> 'quill_8b')
+SELECT model_alias, id, CASE WHEN dv > 0 THEN 'improved' ELSE 'worsened' END AS change FROM p WHERE dv <> 0""")
+def changed_units(spark: SparkSession, d: str) -> DataFrame:
+    """Sources that a run improves or worsens against the baseline, one row each: lists of any length."""
+    each = scored(spark, d).select("model_alias", "source_sample_id", F.col("correct").cast("int").alias("c")).groupBy("model_alias", "source_sample_id").agg(F.avg("c").alias("v"))
+    base = each.where("model_alias = 'quill_8b'").select("source_sample_id", F.col("v").alias("b"))
+    both = each.where("model_alias <> 'quill_8b'").join(base, "source_sample_id").where("v <> b")
+    return both.select("model_alias", F.col("source_sample_id").alias("id"), F.when(F.col("v") > F.col("b"), "improved").otherwise("worsened").alias("change"))
+
+
 @query(f"""WITH {SCORED} SELECT model_alias, state, CASE WHEN action IS NULL THEN 'FORMAT_ERROR' WHEN action = want THEN 'OK' WHEN action = 'ANSWER' AND correct THEN 'ACTION_ERROR_DIRECT_CORRECT' ELSE 'ACTION_ERROR' END AS error, count(*) AS n FROM sc WHERE phase = 'initial' GROUP BY ALL""")
 def first_errors(spark: SparkSession, d: str) -> DataFrame:
     s = scored(spark, d, "phase = 'initial'")
@@ -186,7 +215,12 @@ def answer_safe_evidence(spark: SparkSession, d: str) -> DataFrame:
     return f.select("ord", "e.document_id", "e.text")
 
 
-@query()
+_PHRASES = "".join(f" WHEN {' OR '.join(f'contains(q, {chr(39)}{p}{chr(39)})' for p in ps)} THEN '{k}'" for k, ps in T.QUESTION_PHRASES.items())
+
+
+@query(f"""WITH {FAMILIES}, s AS (SELECT dataset, coalesce(answer, '') AS a, {answer_sql('query')} AS q, {answer_sql('answer')} AS na FROM fam)
+SELECT CASE WHEN regexp_matches(a, '(^|[^\\p{{L}}\\p{{N}}_])(1[0-9]{{3}}|20[0-9]{{2}})([^\\p{{L}}\\p{{N}}_]|$)') OR regexp_matches(lower(a), '{"|".join(m.lower() for m in T.MONTHS)}') THEN 'DATE'
+  WHEN regexp_matches(trim(a), '^[+-]?\\d[\\d.,]*(\\s*%|\\s+[A-Za-z]+)?$') THEN 'NUMBER' WHEN list_has_any(string_split(q, ' '), {T.PERSON_WORDS}) THEN 'PERSON'{_PHRASES} WHEN na IN ('yes', 'no') THEN 'BOOLEAN' ELSE 'OTHER' END AS kind, dataset, count(*) AS n FROM s GROUP BY ALL""")
 def semantic_types(spark: SparkSession, d: str) -> DataFrame:
     f = families(spark, d, "query", "answer", "dataset").select(T.semantic_type("query", "answer").alias("kind"), "dataset")
     return f.groupBy("kind", "dataset").agg(F.count(F.lit(1)).alias("n"))
@@ -226,6 +260,14 @@ def preference_pairs(spark: SparkSession, d: str) -> DataFrame:
     return views.preference_pairs(table(spark, d, "predictions"), f)[0]
 
 
+@query(f"""WITH {FAMILIES}, a AS (SELECT p.response_id, p.family_id, p.parsed, coalesce(fam.trajectory[1].content, '') AS chosen FROM predictions p JOIN fam USING (family_id) WHERE p.phase = 'initial')
+SELECT response_id, family_id, CASE WHEN parsed IS NULL THEN 'UNPARSEABLE' ELSE 'IDENTICAL' END AS skip FROM a WHERE chosen <> '' AND (parsed IS NULL OR coalesce(parsed.answer, '') = chosen)""")
+def preference_skipped(spark: SparkSession, d: str) -> DataFrame:
+    """Responses that give no pair, and why."""
+    f = families(spark, d, "query", "trajectory", F.col("initial_state.state").alias("state"))
+    return views.preference_pairs(table(spark, d, "predictions"), f)[1]
+
+
 @query(f"""WITH {FAMILIES}, g AS (SELECT source_sample_id, concat_ws('/', dataset, initial_state.state) AS stratum, count(*) AS n FROM fam GROUP BY ALL),
 t AS (SELECT g.*, r.range AS trial, ('0x' || substr(sha256('s1:' || r.range || ':' || source_sample_id), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM g, range(20) r),
 s AS (SELECT trial, stratum, sum(n) AS al, sum(n) FILTER (u < 0.8) AS a, sum(n) FILTER (u >= 0.8 AND u < 0.9) AS b, sum(n) FILTER (u >= 0.9) AS c FROM t GROUP BY ALL),

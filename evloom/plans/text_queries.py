@@ -214,11 +214,18 @@ def json_fences(spark: SparkSession, d: str) -> DataFrame:
     """Which raw responses are fenced, and which hold a strict JSON object."""
     a = table(spark, d, "calls").select("delivery_id", F.posexplode("attempts").alias("k", "x")).where("x.raw_response is not null")
     t = T.unfence("x.raw_response")
-    strict = t.startswith("{") & F.try_parse_json(t).isNotNull() if hasattr(F, "try_parse_json") else t.startswith("{")
+    strict = T.is_json_object(t)
     return a.select("delivery_id", "k", F.regexp_replace("x.raw_response", r"^\s+", "").startswith("```").alias("fenced"), strict.alias("strict"))
 
 
-@query()
+def unfence_sql(x: str) -> str:
+    t = f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"CASE WHEN starts_with({t}, '```') THEN regexp_replace(regexp_replace({t}, '(?i)^```[ \\t\\r\\n]*(?:json|text)?\\s*', ''), '\\s*```$', '') ELSE {t} END"
+
+
+@query(f"""WITH a AS (SELECT delivery_id, k, x.raw_response AS raw FROM (SELECT delivery_id, unnest(attempts) AS x, unnest(range(len(attempts)))::INT AS k FROM calls) WHERE x.raw_response IS NOT NULL),
+u AS (SELECT delivery_id, k, raw, {unfence_sql('raw')} AS t, coalesce(list_filter(list_transform(regexp_split_to_array(raw, '[\\r\\n]'), lambda s: trim(s)), lambda s: s <> '')[1], '') AS line FROM a)
+SELECT delivery_id, k, coalesce(CASE WHEN starts_with(t, '{{') THEN trim(try_cast(t AS JSON)->>'answer') END, regexp_replace(regexp_replace(trim(regexp_replace(line, '(?i)^(?:answer|final answer|答案)\\s*[:：]\\s*', '')), '^"+', ''), '"+$', '')) AS answer FROM u""")
 def predicted_answers(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "calls").select("delivery_id", F.posexplode("attempts").alias("k", "x")).where("x.raw_response is not null")
     return a.select("delivery_id", "k", T.predicted_answer("x.raw_response").alias("answer"))
@@ -271,7 +278,12 @@ def request_hashes(spark: SparkSession, d: str) -> DataFrame:
     return r.select(T.request_hash(F.col("r"), REQUEST).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_GAPPED = f"""e AS (SELECT ord, family_id, string_split({answer_sql('answer')}, ' ') AS nm, string_split({answer_sql('e.text')}, ' ') AS h FROM (SELECT ord, family_id, answer, unnest(initial_state.evidence) AS e FROM families)),
+w AS (SELECT ord, family_id, nm, h, len(nm) AS n, coalesce(list_position(h, nm[1]), 0) AS pos, 1 AS k FROM e WHERE len(nm) >= 2),
+r AS (SELECT * FROM w WHERE pos > 0 UNION ALL SELECT ord, family_id, nm, h, n, pos + list_position(h[pos + 1:], nm[k + 1]), k + 1 FROM r WHERE k < n AND coalesce(list_position(h[pos + 1:], nm[k + 1]), 0) BETWEEN 1 AND 3)"""
+
+
+@query(f"WITH RECURSIVE {_GAPPED} SELECT DISTINCT ord, family_id FROM r WHERE k = n")
 def gapped_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Families whose initial evidence names the answer with up to two words between."""
     f = table(spark, d, "families").select("ord", "family_id", "answer", F.explode("initial_state.evidence").alias("e"))
@@ -279,6 +291,24 @@ def gapped_mentions(spark: SparkSession, d: str) -> DataFrame:
     return f.where(hit).select("ord", "family_id").distinct()
 
 
+@query(f"""WITH a AS (SELECT delivery_id, k, {unfence_sql('x.raw_response')} AS t FROM (SELECT delivery_id, unnest(attempts) AS x, unnest(range(len(attempts)))::INT AS k FROM calls) WHERE x.raw_response IS NOT NULL),
+b AS (SELECT *, regexp_extract(t, '(?s)(\\{{.*\\}})', 1) AS i FROM a)
+SELECT delivery_id, k, CASE WHEN starts_with(t, '{{') AND json_type(try_cast(t AS JSON)) = 'OBJECT' THEN 'strict' WHEN starts_with(i, '{{') AND json_type(try_cast(i AS JSON)) = 'OBJECT' THEN 'inner' ELSE 'none' END AS found FROM b""")
+def json_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a raw response is a JSON object, or holds one from its first brace to its last."""
+    a = table(spark, d, "calls").select("delivery_id", F.posexplode("attempts").alias("k", "x")).where("x.raw_response is not null")
+    t, got = T.unfence("x.raw_response"), T.json_object("x.raw_response")
+    return a.select("delivery_id", "k", F.when(got.isNull(), "none").when(got == t, "strict").otherwise("inner").alias("found"))
+
+
+@query(f"""WITH f AS (SELECT ord, list_concat([answer], coalesce(answer_aliases, [])) AS v FROM families), k AS (SELECT ord, v, list_transform(v, lambda a: {normal_sql('a')}) AS ks FROM f)
+SELECT ord, array_to_string(list_filter(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN ks[i] <> '' AND list_position(ks, ks[i]) = i THEN v[i] END), lambda a: a IS NOT NULL), '|') AS answers FROM k""")
+def distinct_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Accepted answers, the first spelling of each."""
+    all_ = F.concat(F.array("answer"), F.coalesce("answer_aliases", F.array().cast("array<string>")))
+    return table(spark, d, "families").select("ord", F.array_join(T.distinct_by(all_), "|").alias("answers"))
+
+
 @query("""SELECT model_alias, sum(CASE WHEN a.usage.in_tokens IS NULL THEN 0 ELSE a.usage.in_tokens END)::BIGINT AS in_tokens, sum(coalesce(a.usage.out_tokens, 0))::BIGINT AS out_tokens,
   avg(a.latency_seconds) AS latency FROM (SELECT model_alias, unnest(attempts) AS a FROM calls) GROUP BY model_alias""")
 def usage(spark: SparkSession, d: str) -> DataFrame:
