@@ -3,11 +3,13 @@
 UTF-8 read as something else: for each wrong encoding the character sequences that the letters, punctuation and
 ideographs of the common languages turn into are computed by rule, and all of them are matched at once by an
 Aho-Corasick automaton (longest match first). Only matched spans are replaced, so correct text beside them stays. What was
-garbled twice or more often is restored in as many rounds.
+garbled several times is restored in as many rounds, until nothing changes.
 
-Single-byte encodings mixed up with each other leave no tell-tale sequences. Their runs are matched by letters that do not occur so in words: Cyrillic
-as Western letters, Chinese (GB 2312) as Western letters, Central European as Western, and KOI8 as Windows Cyrillic
-(telling by letter frequency); the runs are decoded and kept if the result is written as words are.
+Single-byte encodings mixed up with each other leave no sequence that proper text could not hold: one letter stands for one letter. Alphabets (Cyrillic and Greek in
+their encodings, shown as Western or as another Cyrillic) are tried pair by pair: runs that are wholly foreign are read back, and the pair is taken whose letters
+go best with the frequencies of Russian or Greek, if they go well, are written as words are, and go better than what stood there. Chinese (GB 2312) shown as
+Western is read back only in whole runs, where no alphabet fits, every pair of bytes is a common ideograph or its punctuation, and the way back gives the same bytes.
+Central European shown as Western is told by signs inside words. What no pair explains stays as it is.
 
 The replacement character says that something was lost: such a text is found, and what else is garbled in it is restored.
 
@@ -26,14 +28,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Encodings that UTF-8 bytes are wrongly read in.
-WRONG = ("latin-1", "cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman")
+WRONG = ("latin-1", "cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r", "cp866")
 #: Letters of Central European, Baltic and Turkish alphabets beyond Latin-1.
 EXTENDED = "ĄąĆćĘęŁłŃńŚśŹźŻżČčĎďĚěŇňŘřŠšŤťŮůŽžŐőŰűĞğİıŞşĀāĒēĢģĪīĶķĻļŅņŪūŒœŸȘșȚț"
 #: Punctuation and signs beyond Latin-1.
 SIGNS = "‐‑–—‘’‚“”„†‡•…‰‹›€™№−"
 #: Frequency of Russian letters, per thousand, in alphabetical order from а to я (ё with е).
 RUSSIAN = dict(zip("абвгдежзийклмнопрстуфхцчшщъыьэюя", (80, 16, 45, 17, 30, 85, 9, 17, 74, 12, 35, 44, 32, 67, 110, 28, 47, 55, 63, 26, 3, 10, 5, 14, 7, 4, 1, 19, 17, 3, 6, 20)))
-ROUNDS = 4
+#: Frequency of Greek letters, per thousand, in alphabetical order from α to ω (accented ones with their letter, ς with σ).
+GREEK = dict(zip("αβγδεζηθικλμνξοπρστυφχψω", (120, 8, 20, 17, 85, 5, 55, 11, 85, 41, 33, 44, 79, 6, 98, 50, 50, 49, 91, 43, 12, 14, 2, 18)))
+#: Alphabets, as (encoding that was written, encodings it was read in).
+ALPHABETS = (
+    ("cp1251", ("cp1252", "latin-1", "koi8_r", "cp866")), ("koi8_r", ("cp1252", "latin-1", "cp1251", "cp866")), ("iso8859_5", ("cp1252", "latin-1", "cp1251", "koi8_r")),
+    ("cp866", ("cp1252", "latin-1", "cp1251", "koi8_r")), ("cp1253", ("cp1252", "latin-1")), ("iso8859_7", ("cp1252", "latin-1")),
+)
 
 
 def _read(data: bytes, encoding: str) -> str | None:
@@ -98,6 +106,13 @@ def _spans(text: str) -> list[tuple[int, int, str, bool]]:
     return out
 
 
+def alien_runs(text: str, spans: list) -> list[tuple[int, int]]:
+    """Longer runs of Western high characters with garbled sequences in them that make up less than half: bytes of something else, or with bytes lost between."""
+    covered = {i for s in spans for i in range(s[0], s[1])}
+    runs = [m.span() for m in re.finditer(r"[\x80-\xff]{6,}", text)] if covered else []
+    return [(a, b) for a, b in runs if 0 < sum(i in covered for i in range(a, b)) < 0.5 * (b - a)]
+
+
 def ungarble_utf8(text: str) -> str:
     """Runs of garbled sequences replaced; a run without a strong sequence counts from two sequences on."""
     spans = _spans(text)
@@ -114,6 +129,8 @@ def ungarble_utf8(text: str) -> str:
         return text
     # beside others, also a weak sequence at the end of a word is one
     good = [r for r in runs if any(s[3] for s in r) or len(r) > 1 or r[0][0] and text[r[0][0] - 1].isalpha() and not text[r[0][0]].isupper()]
+    alien = alien_runs(text, spans)
+    good = [r for r in good if not any(a <= r[0][0] < b for a, b in alien)]
     out, at = [], 0
     for r in good:
         out += [text[at : r[0][0]], *(s[2] for s in r)]
@@ -121,50 +138,96 @@ def ungarble_utf8(text: str) -> str:
     return "".join(out) + text[at:]
 
 
-def _russian(words: list[str]) -> float:
-    """Mean log frequency of letters as Russian ones."""
-    letters = [c for w in words for c in w.lower().replace("ё", "е")]
-    return sum(math.log(RUSSIAN.get(c, 0.2) / 1000) for c in letters) / max(1, len(letters))
-
-
 def _as_words(word: str) -> bool:
     return word.islower() or word.istitle() or word.isupper()
 
 
-def western_cyrillic(text: str) -> str:
-    """Windows Cyrillic read as Western: runs of words all of accented letters."""
-    run = r"[À-ÿ¸¨]{1,}"
-    words = [w for w in re.findall(rf"(?<!\w){run}(?!\w)", text) if len(w) >= 3]
-    signs = sum("\x80" <= c <= "¿" and c not in "¨«»\xa0" for c in text)
-    if not words or signs > 0.1 * sum("À" <= c <= "ÿ" for c in text):
-        return text  # signs between: rather UTF-8 that lost bytes
-    decoded = [w.encode("cp1252", "ignore").decode("cp1251", "ignore") for w in words]
-    if sum(map(_as_words, decoded)) < 0.8 * len(decoded) or _russian(decoded) < -3.6:
+_PLAIN_GREEK = str.maketrans("άέήίόύώϊϋΐΰς", "αεηιουωιυιυσ")
+
+
+def _fit(words: list[str]) -> float:
+    """Mean log frequency of letters, as Russian or as Greek ones, whichever script they are in; other signs count as very rare letters."""
+    letters = "".join(words).lower().replace("ё", "е").translate(_PLAIN_GREEK)
+    return max(sum(math.log(known.get(c, 0.2) / 1000) for c in letters) / max(1, len(letters)) for known in (RUSSIAN, GREEK))
+
+
+@functools.lru_cache(64)
+def _way(written: str, seen: str) -> tuple[dict[int, str], re.Pattern]:
+    """(what each character seen for a high byte stands for, runs of such characters)."""
+    table = {}
+    for b in range(0x80, 0x100):
+        try:
+            was = bytes([b]).decode(written)
+        except UnicodeDecodeError:
+            continue
+        shown = _one(b, seen)
+        if not (shown.isspace() and was.isspace()):
+            table[ord(shown)] = was
+    inside = "".join(re.escape(chr(c)) for c in sorted(table) if table[c].isalpha())
+    return table, re.compile(f"[{inside}]+")
+
+
+def alphabets(text: str) -> str:
+    """A text in which an alphabet was read in another encoding, read back; unchanged where no pair fits."""
+    if not re.search(r"[\x80-\u04ff\u2000-\u25ff]{3}", text):
+        return text
+    stood = re.findall(r"[\u0370-\u04ff]{3,}", text)
+    western = len(re.findall(r"[\x80-\xff]{3,}", text))
+    if not western and (not stood or _fit(stood) > -3.3 and sum(map(_as_words, stood)) >= 0.9 * len(stood)):
         return text
-    return re.sub(rf"(?<![A-Za-z]){run}(?![A-Za-z])", lambda m: m[0].encode("cp1252", "ignore").decode("cp1251", "ignore"), text)
+    best: tuple[float, str, str] | None = None
+    for written, readings in ALPHABETS:
+        for seen in readings:
+            table, run = _way(written, seen)
+            runs = [m[0] for m in run.finditer(text) if not (text[m.start() - 1 : m.start()].isascii() and text[m.start() - 1 : m.start()].isalpha()) and not text[m.end() : m.end() + 1].isalpha()]
+            long = [w for w in runs if len(w) >= 3]
+            shown = sum(ord(c) in table for c in text)
+            if sum(map(len, long)) < 8 or sum(map(len, runs)) < 0.8 * shown:
+                continue  # signs between the letters: rather bytes of something else
+            back = [w.translate(table) for w in long]
+            fit = _fit(back)
+            if fit < -3.6 or sum(map(_as_words, back)) < 0.8 * len(back) or any(c not in RUSSIAN and c not in GREEK and c != "ё" for c in "".join(back).lower().translate(_PLAIN_GREEK)):
+                continue
+            before = sum(_as_words(w) and w.isalpha() for w in long) / len(long)
+            if fit < _fit(long) + (0.25 if before < 0.8 else 0.6):
+                continue
+            if best is None or fit > best[0]:
+                best = fit, written, seen
+    if best is None:
+        return text
+    table, run = _way(best[1], best[2])
+    return re.sub(rf"(?<![A-Za-z]){run.pattern}(?![A-Za-z])", lambda m: m[0].translate(table), text)
 
 
 def western_chinese(text: str) -> str:
-    """GB 2312 read as Western: runs of pairs of characters above 0xA0."""
+    """GB 2312 read as Western: whole runs of characters of high bytes."""
 
     def back(m: re.Match) -> str:
         try:
-            got = m[0].encode("cp1252").decode("gb2312")
+            raw = m[0].encode("cp1252")
+            got = raw.decode("gb2312")
         except (UnicodeDecodeError, UnicodeEncodeError):
             return m[0]
         try:
-            m[0].encode("cp1252").decode("utf-8")
+            raw.decode("utf-8")
             return m[0]
         except UnicodeDecodeError:
             pass
-        common = sum(0xB0 <= b <= 0xD7 or 0xA1 <= b <= 0xA3 for b in m[0].encode("cp1252")[::2])
-        return got if common == len(got) and any("一" <= c <= "鿿" for c in got) else m[0]
+        common = sum(0xB0 <= b <= 0xD7 or 0xA1 <= b <= 0xA3 for b in raw[::2])
+        ideographs = sum("一" <= c <= "鿿" for c in got)
+        return got if common == len(got) and 2 * ideographs >= len(got) and got.encode("gb2312") == raw else m[0]
 
     western = [c for c in text if "\x80" <= c <= "ÿ"]
     if sum(c in "ÐÑ" for c in western) > 0.25 * len(western):
         return text  # rather Cyrillic UTF-8 that lost bytes
-    out = re.sub(r"(?:[¡-þ]{2}){2,}", back, text)
-    if out != text:  # accented letters of names between the ideographs
+    pairs = re.findall(r"[°-þ][¡-þ]", "".join(re.findall(r"(?<![^\x00-\x7f])(?:[¡-þ]{2})+(?![^\x00-\x7f])", text)))
+    if len(pairs) >= 8 and max(pairs) < "É":  # all in the rows of Hangul, which no Chinese text keeps to
+        korean = lambda m: m[0].encode("latin-1").decode("euc_kr", "replace")
+        done = re.sub(r"(?<![^\x00-\x7f])(?:[¡-þ]{2})+(?![^\x00-\x7f])", korean, text)
+        return text if "\ufffd" in done else done
+    out = re.sub(r"[^\x00-\x7f]{4,}", back, text)
+    if out != text:  # short runs, punctuation and accented letters of names beside the ideographs
+        out = re.sub(r"(?<![\x80-\xff])(?:[¡-£°-×][¡-þ])(?![\x80-\xff])", lambda m: m[0].encode("cp1252").decode("gb2312", "replace") if "\ufffd" not in m[0].encode("cp1252").decode("gb2312", "replace") else m[0], out)
         out = re.sub(r"¨[¡-¹]", lambda m: m[0].encode("cp1252").decode("gb2312", "replace"), out)
     return out
 
@@ -213,29 +276,6 @@ def _recode(word: str, encoding: str) -> str:
         return word
 
 
-def windows_koi(text: str) -> str:
-    """KOI8 read as Windows Cyrillic: case is turned round, and the letters are the wrong ones."""
-    words = re.findall(r"[А-Яа-яЁё]{2,}", text)
-    if not words:
-        return text
-    turned = [w for w in words if w[0].islower() and w[1:].isupper() or w.isupper()]
-    if len(turned) < max(2, 0.25 * len(words)):
-        return text
-
-    def back(w: str) -> str:
-        try:
-            return w.encode("cp1251").decode("koi8_r")
-        except (UnicodeDecodeError, UnicodeEncodeError):
-            return w
-
-    decoded = [back(w) for w in turned]
-    if sum(map(_as_words, decoded)) < 0.8 * len(decoded) or _russian(decoded) < _russian(turned) + 0.25:
-        return text
-    pieces = re.split(r"((?:[А-Яа-яЁёЈ¤№љњќћџ]+))", text)
-    ok = lambda w: w.isupper() or w[:1].islower() and (len(w) == 1 or w[1:].isupper()) or "Ј" in w
-    return "".join(back(p) if i % 2 and ok(p) else p for i, p in enumerate(pieces))
-
-
 def restore(text: str | None) -> tuple[str | None, list[str]]:
     """(text restored as far as it can be, how it was garbled); no way: proper text."""
     if not text or text.isascii():
@@ -245,23 +285,19 @@ def restore(text: str | None) -> tuple[str | None, list[str]]:
         how.append("lost")
     out = text
     covered = sum(b - a for a, b, _, _ in _spans(text)) / sum(c > "\x7f" for c in text)
-    for name, f in (("gbk", gbk_of_utf8), ("western_chinese", western_chinese), ("western_cyrillic", western_cyrillic)):
+    for name, f in (("gbk", gbk_of_utf8), ("alphabet", alphabets), ("western_chinese", western_chinese)):
         new = f(out) if covered < 0.35 else out
         if new != out:
             how.append(name)
             out = new
-    for k in range(ROUNDS):
-        new = ungarble_utf8(out)
-        if new == out:
-            break
-        how.append("utf8" if k == 0 else "again")
+    while (new := ungarble_utf8(out)) != out:  # ends: every round makes the text shorter
+        how.append("again" if "utf8" in how else "utf8")
+        out = new
+    if not how and alien_runs(out, _spans(out)):
+        how.append("lost")
+    if not how and (new := western_central(out)) != out:
+        how.append("western_central")
         out = new
-    if not how:
-        for name, f in (("western_central", western_central), ("windows_koi", windows_koi)):
-            new = f(out)
-            if new != out:
-                how.append(name)
-                out = new
     return out, how
 
 

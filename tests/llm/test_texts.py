@@ -293,3 +293,28 @@ def test_ends_early_against_a_table():
         n = best[-1][-1]
         want = n > 0 and best[-2][-1] < n and best[-1][-2] == n if best else False
         assert truncation.ends_early(cut, whole) == want, (cut, whole)
+
+
+RU, EL, KO, JA, TW = "Кто заплатил за колокол, до сих пор неизвестно.", "Κανείς δεν ξέρει ποιος πλήρωσε την καμπάνα της πόλης.", "누가 종 값을 치렀는지는 아직 모른다.", "鐘の代金を誰が払ったかは今も分かっていない。", "至今不知道是誰付了鐘的錢。"
+
+
+@pytest.mark.parametrize(("text", "written", "seen"), [
+    (RU, "koi8_r", "latin-1"), (RU, "koi8_r", "cp1252"), (EL, "cp1253", "cp1252"), (RU, "cp866", "cp1251"), (RU, "iso8859_5", "latin-1"), (RU, "utf-8", "koi8_r"), (RU, "cp1251", "koi8_r"), (RU, "koi8_r", "cp1251"), (RU, "utf-8", "cp866"), (KO, "euc_kr", "latin-1"),
+])
+def test_pairs_of_encodings_are_restored(text, written, seen):
+    assert garbled.restore(text.encode(written).decode(seen))[0] == text
+
+
+@pytest.mark.parametrize(("text", "written", "seen"), [("“Café” für", "utf-8", "shift_jis"), ("Café für déjà", "latin-1", "mac_roman"), ("Café für", "cp437", "cp1252"), (JA, "shift_jis", "latin-1"), (TW, "big5", "latin-1")])
+def test_what_no_pair_explains_stays(text, written, seen):
+    shown = text.encode(written, "replace").decode(seen, "replace")
+    assert garbled.restore(shown)[0] == shown
+
+
+def test_garbled_five_times_and_proper_scripts():
+    seen = text = "Über die Gründung"
+    for _ in range(5):
+        seen = seen.encode().decode("latin-1")
+    assert garbled.restore(seen)[0] == text
+    for proper in (RU, EL, KO, JA, TW, "ОТКРЫТИЕ МУЗЕЯ", "ΑΘΗΝΑ Η ΠΟΛΗ"):
+        assert garbled.restore(proper) == (proper, [])
