@@ -108,8 +108,8 @@ def _spans(text: str) -> list[tuple[int, int, str, bool]]:
 
 def alien_runs(text: str, spans: list) -> list[tuple[int, int]]:
     """Longer runs of Western high characters with garbled sequences in them that make up less than half: bytes of something else, or with bytes lost between."""
-    covered = {i for s in spans for i in range(s[0], s[1])}
-    runs = [m.span() for m in re.finditer(r"[\x80-\xff]{6,}", text)] if covered else []
+    runs = [m.span() for m in re.finditer(r"[\x80-\xff]{6,}", text)] if spans else []
+    covered = {i for s in spans for i in range(s[0], s[1])} if runs else ()
     return [(a, b) for a, b in runs if 0 < sum(i in covered for i in range(a, b)) < 0.5 * (b - a)]
 
 
@@ -293,7 +293,7 @@ def restore(text: str | None) -> tuple[str | None, list[str]]:
     while (new := ungarble_utf8(out)) != out:  # ends: every round makes the text shorter
         how.append("again" if "utf8" in how else "utf8")
         out = new
-    if not how and alien_runs(out, _spans(out)):
+    if not how and re.search(r"[\x80-\xff]{6}", out) and alien_runs(out, _spans(out)):
         how.append("lost")
     if not how and (new := western_central(out)) != out:
         how.append("western_central")
