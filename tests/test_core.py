@@ -383,3 +383,51 @@ def test_request_objects_give_the_bodies_back(spark):
     for i, row in enumerate(rows[:7]):
         b, at = by[of[i]], lambda n: None if b[f"{n}_length"] is None else elements[b.body_id, n]  # noqa: B023
         assert (b.temperature, b.top_p, b.max_tokens, b.seed, at("stop"), (b.enable_thinking, b.thinking_budget), (b.format_type, (b.schema_name, b.strict, at("required")))) == row
+
+
+def test_exactly_once_also_under_one_id(spark):
+    """A delivery that is repeated under its own id, whole or with another column changed, leaves one row; maps are carried."""
+    kind = "delivery_id long, k string, at int, note string, m map<string,string>"
+    rows = [(1, "a", 5, "x", {"p": "q"}), (1, "a", 5, "x", {"p": "q"}), (1, "a", 5, "b", None), (2, "a", 9, "y", None), (3, None, 1, "z", None), (3, None, 1, "z", None)]
+    for columns in (["delivery_id", "k", "at", "note", "m"], ["delivery_id", "k", "at", "note"]):
+        got = messages.exactly_once(spark.createDataFrame(rows, kind).select(*columns), {"k": F.col("k")}, ["at"], "delivery_id").collect()
+        assert sorted((r.delivery_id, r.note) for r in got) == [(1, "b"), (3, "z"), (3, "z")]
+
+
+def test_cycle_over_many_ranges(spark):
+    df = spark.range(3000).selectExpr("lpad(id, 5, '0') AS id", "CASE WHEN id < 2900 THEN 'hot' END AS g")
+    got = {(r.g, r.id): r.next_id for r in select.next_in_cycle(df, ["g"], "id").collect()}
+    assert len(got) == 3000 and got["hot", "02899"] == "00000" and got[None, "02999"] == "02900" and all(got["hot", f"{i:05}"] == f"{i + 1:05}" for i in range(2899))
+
+
+def test_every_model_takes_part(spark):
+    models = spark.createDataFrame([(f"m{i}",) for i in range(150)] + [(None,)], "model_alias string")
+    assert select.times(spark.createDataFrame([("s",)], "sample_id string"), models, "model_alias").count() == 150
+
+
+@pytest.mark.parametrize(("name", "used"), [("stable_topk", {"dataset"}), ("family_samples", {"source_sample_id"}), ("token_f1", {"answer", "answer_aliases"}), ("donor_next", {"dataset", "initial_state"})])
+def test_scans_read_what_is_used(spark, sf, name, used):
+    from evloom.plans.record_queries import families
+
+    df = families(spark, sf, *used) if name == "donor_next" else catalogue.queries()[name](spark, sf)
+    scans = [x.split("ReadSchema: ")[1] for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "families.parquet" in x and "ReadSchema: " in x]
+    assert scans and not any(c in x for x in scans for c in ("trajectory", "full_state", "exported_at", "author"))
+
+
+def test_canonical_requests(spark):
+    df = spark.sql("""SELECT named_struct('b', 1, 'a', named_struct('y', CAST(NULL AS string), 'x', array('p"q', NULL))) AS r""")
+    assert df.select(T.canonical_json(F.col("r"), df.schema["r"].dataType).alias("j")).first().j == '{"a":{"x":["p\\"q",null],"y":null},"b":1}'
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from evloom import session
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_folder(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://x:7077")))
+
+
+def test_rejected_records(spark):
+    df = spark.createDataFrame([(1, None), (2, " "), (3, "{"), (4, "[1]"), (5, '{"a": 1}'), (6, "[" * 200_000 + "]" * 200_000)], "record_id long, payload string")
+    assert {(r.record_id, r.reason) for r in nested.rejected(df, "record_id", "payload").collect()} == {(1, "EMPTY"), (2, "EMPTY"), (3, "NOT_JSON"), (4, "NO_OBJECT"), (6, "TOO_DEEP")}
