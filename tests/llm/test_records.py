@@ -246,3 +246,12 @@ def test_long_sentences_align_whole():
     r = random.Random(3)
     s = [r.choice(["mill", "river", "stone", "archive"]) + r.choice(["", "s"]) for _ in range(1100)]
     assert overlaps.light_edit(" ".join(s), " ".join([*s[:500], "stnoe", *s[501:]]) + " x", lambda w: 0.5 if w != "x" else 0.0001)
+
+
+def test_all_labels_are_balanced(spark):
+    """Seventy labels of ten components each: the rarest are spread as well as the first."""
+    targets = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split string, share double")
+    rows = [fam(f"f{i:04}", None, f"s{i}", dataset=f"d{i % 70:02}") for i in range(700)]
+    got = {r.family_id: r.split for r in grouped.assign(frame(spark, rows), targets).collect()}
+    n = Counter((i % 70, got[f"f{i:04}"]) for i in range(700))
+    assert len(got) == 700 and sum(3 <= n[k, "train"] <= 7 for k in range(70)) >= 66
