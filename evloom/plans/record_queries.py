@@ -236,14 +236,16 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
 
     docs: doc_id, normal; phrases: phrase (normalised, not empty). A phrase of one word meets the document's words, a longer one its first pair; pairs
     are rare, also where a single word is in a third of all documents. Phrases of three words and more are then looked for as a whole.
+
+    Both joins are told to merge: words and texts are estimated by the size of the documents' files, far below what they take, and would be broadcast.
     """
     p = phrases.select("phrase").distinct().withColumn("words", F.split("phrase", " "))
     p = p.select("phrase", F.size("words").alias("n"), F.array_join(F.slice("words", 1, 2), " ").alias("head"))
     words = docs.where("normal <> ''").select("doc_id", F.split("normal", " ").alias("w"))
     pairs = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
     heads = words.select("doc_id", F.explode(F.array_distinct(F.concat("w", F.array_compact(pairs)))).alias("head"))
-    hits = heads.join(p, "head").select("doc_id", "phrase", "n")
-    long = hits.where("n > 2").join(docs, "doc_id").where(T.contains_phrase("normal", "phrase")).select("doc_id", "phrase")
+    hits = heads.hint("merge").join(p, "head").select("doc_id", "phrase", "n")
+    long = hits.where("n > 2").join(docs.hint("merge"), "doc_id").where(T.contains_phrase("normal", "phrase")).select("doc_id", "phrase")
     return hits.where("n <= 2").select("doc_id", "phrase").unionByName(long)
 
 

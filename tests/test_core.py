@@ -152,6 +152,14 @@ def test_phrase_hits_against_all_pairs(spark):
     assert got == {(i, p) for i, d in docs for (p,) in phrases if f" {p} " in f" {d} "}
 
 
+def test_words_of_documents_are_never_broadcast(spark, sf):
+    docs = [(i, " ".join(f"w{(i * j) % 97}" for j in range(50))) for i in range(50)]
+    df = record_queries.phrase_hits(spark.createDataFrame(docs, "doc_id long, normal string"), spark.createDataFrame([("w0 w1 w2",), ("w1",)], "phrase string"))
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    for plan in (df, record_queries.decontaminate(spark, sf)):
+        assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 # selections ---------------------------------------------------------------------------------------------------------
 
 
