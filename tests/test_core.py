@@ -160,6 +160,13 @@ def test_words_of_documents_are_never_broadcast(spark, sf):
         assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_clean_documents_without_planned_broadcast(spark, sf):
+    df = record_queries.decontaminated(spark, sf)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    hit = {r.doc_id for r in record_queries.decontaminate(spark, sf).collect()}
+    assert sorted(r.doc_id for r in df.collect()) == sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect() if r.doc_id not in hit)
+
+
 # selections ---------------------------------------------------------------------------------------------------------
 
 
