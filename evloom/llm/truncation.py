@@ -11,6 +11,9 @@ the longest, so one neighbour stands for all members, and no pairs are formed wi
 of that order. The pair is aligned word by word (longest common subsequence, bit-parallel, whole texts): a suspect of which 0.8 of the shingles stand in its
 neighbour, and whose alignment runs to its end before the neighbour's, was cut (copy), unless nothing but a stop is what it lacks.
 
+A suspect whose neighbours do not tell is held against all texts, exactly: of the n shingles of a suspect 0.8 n stand in its copy, so of any 0.2 n + 1 at
+least one does; the rarest are taken (as suspects have them), and texts that hold one of them and, by 256 bits of their shingles, may hold 0.8 of all are aligned.
+
 Suspects without such a copy are scored by terminality: JSON by its brackets, marks behind the end (structure); prose by its closing word, by how often, over all
 prose, that word ends a sentence: one that does nine tenths of the times closes the text, a lower-case one that next to never does leaves it cut, sentences before it
 decide where the word is rare; error messages by whether messages with the same opening words ever end with a stop (a tenth of them), over all messages (closing).
@@ -29,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -43,8 +46,10 @@ SIMILARITY = 0.8
 KNOWN_WORD = 20
 #: Words of a text that is compared with others, its last one aside.
 LEAST = 8
-#: Places of a suspect: those of its longest windows, two by all words and two by min-hash.
+#: Places of a suspect: those of its longest windows, two by all words and two by min-hash. What they miss is found by shingles.
 OWN = 4
+#: Most bits that tell which shingles or texts are asked for: a log to base 2; 16 MB.
+ASKED = 27
 #: Multipliers of the min-hashes, each a band of its own: a suspect is held against one neighbour per bucket, so buckets need not be small.
 BANDS = (np.uint64(0x9E3779B97F4A7C15),)
 
@@ -189,12 +194,33 @@ def _tails(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(raw)])
 
 
-SEEN = "delivery_id long, attempt int, field string, dataset string, provider string, ending string, kind string, last string, inner boolean, tid binary, own array<struct<key:long,tail:binary>>"
+def distinct_shingles(hashes: np.ndarray, offsets: np.ndarray, without: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) of all texts, without repetition and in order; so many last words aside."""
+    sh, ends = shingles(hashes, offsets)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(ends))
+    if without:
+        inside = np.arange(len(sh)) < ends[1:][row] - without
+        row, sh = row[inside], sh[inside]
+    order = np.lexsort((sh, row))
+    row, sh = row[order], sh[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (sh[1:] != sh[:-1])
+    return row[new], sh[new]
+
+
+def sketches(row: np.ndarray, sh: np.ndarray, n: int) -> np.ndarray:
+    """n x 4 longs: 256 bits of the shingles of each text."""
+    held = np.zeros((n, 256), bool)
+    held[row, ((sh >> np.uint64(8)) & np.uint64(255)).astype(np.int64)] = True
+    return np.packbits(held, axis=1, bitorder="little").view(np.int64).reshape(n, 4)
+
+
+SEEN = "delivery_id long, attempt int, field string, dataset string, provider string, ending string, kind string, last string, inner boolean, tid binary, own array<struct<key:long,tail:binary>>, grams array<long>, bits array<long>"
 _OWN = pa.list_(pa.struct([("key", pa.int64()), ("tail", pa.binary())]))
 
 
 def read(texts: DataFrame) -> DataFrame:
-    """texts without the text: its ending, the kind of an error message, the closing word of prose without stop and whether it begins in lower case; of suspects a hash of their words and their places in the buckets of their longest windows. One pass."""
+    """texts without the text: its ending, the kind of an error message, the closing word of prose without stop and whether it begins in lower case; of suspects a hash of their words, their places in the buckets of their longest windows, and their shingles with their bits. One pass."""
     names = [c.split()[0] for c in SEEN.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +232,7 @@ def read(texts: DataFrame) -> DataFrame:
             inner = [t is not None and t.strip(_AROUND)[:1].islower() for t in last]
             last = [None if t is None else last_word(t) for t in last]
             tid: list = [None] * len(raw)
-            own: list = [None] * len(raw)
+            own, grams, bits = ([None] * len(raw) for _ in range(3))
             at = [i for i, (h, _) in enumerate(how) if h != "closed"]
             hashes, offsets = words(pa.array([normal(raw[i], True) for i in at], pa.string()), unified=True)
             sizes = np.diff(offsets) - 1  # the last word may be broken
@@ -215,10 +241,14 @@ def read(texts: DataFrame) -> DataFrame:
             for k, z, x in zip(which.tolist(), key.tolist(), tails):
                 own[at[k]] = [*(own[at[k]] or []), {"key": z, "tail": x}]
             ids = text_keys(hashes, offsets).to_pylist()
+            row, sh = distinct_shingles(hashes, offsets, 1)
+            ends = np.searchsorted(row, np.arange(len(at) + 1))
+            held = sketches(row, sh, len(at))
             for k, i in enumerate(at):
                 if own[i]:
                     own[i], tid[i] = own[i][-OWN:], ids[k]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array([h for h, _ in how], pa.string()), pa.array(kind, pa.string()), pa.array(last, pa.string()), pa.array(inner, pa.bool_()), pa.array(tid, pa.binary()), pa.array(own, _OWN)], names=names)
+                    grams[i], bits[i] = sh[ends[k] : ends[k + 1]].view(np.int64), held[k]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array([h for h, _ in how], pa.string()), pa.array(kind, pa.string()), pa.array(last, pa.string()), pa.array(inner, pa.bool_()), pa.array(tid, pa.binary()), pa.array(own, _OWN), pa.array(grams, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=names)
 
     return texts.select(*names[:5], "text").mapInArrow(run, SEEN)
 
@@ -363,16 +393,61 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return told.where("edge is null").select("key", "tail", "at2").unionByName(after)
 
 
-def aligned_cuts(texts: DataFrame, seen: DataFrame) -> DataFrame:
-    """tid of suspects (rows of seen with a tid) that end early against a near-copy."""
-    one = seen.where("tid is not null").groupBy("tid").agg(F.min(F.struct(*where())).alias("at"), F.first("own").alias("own"), F.min("ending").alias("ending"))
-    mine = cut_lineage(one.select("tid", "at", "ending", F.explode("own").alias("o")).select("tid", "at", "ending", "o.key", "o.tail"))
-    # only buckets with a suspect matter; of texts that go on alike one stands for all
-    others = places(texts).join(mine.select("key").distinct(), "key", "left_semi").select("key", "tail", F.lit(False).alias("own"), "at")
-    rows = others.unionByName(mine.select("key", "tail", F.lit(True).alias("own"), "at")).groupBy("key", "tail").agg(F.max("own").alias("own"), F.min("at").alias("at"))
-    pairs = mine.join(neighbours(rows), ["key", "tail"]).select("tid", "at", "ending", "at2").distinct()
-    t = texts.select(F.struct(*where()).alias("at"), "text")
-    pairs = pairs.join(t, "at").select("tid", "ending", "text", F.col("at2").alias("at")).join(t.withColumnRenamed("text", "whole"), "at").select("tid", "ending", "text", "whole")
+def asked(keys: DataFrame) -> tuple[int, np.ndarray]:
+    """(log of the size, bits) of the upper bits of keys: what is not among the bits is no key. The size goes with the number of keys, up to 2^ASKED."""
+    size = min(ASKED, max(12, (16 * keys.count()).bit_length()))
+    place = F.shiftrightunsigned("key", 64 - size)
+    got = keys.select(F.shiftrightunsigned(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - size}) & 63 AS int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << (size - 6), np.int64)
+    bits[np.asarray(got.column("at"))] = np.asarray(got.column("bits"))
+    return size, bits.view(np.uint64)
+
+
+def is_asked(keys: np.ndarray, size: int, bits: np.ndarray) -> np.ndarray:
+    place = keys >> np.uint64(64 - size)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+
+
+def postings(texts: DataFrame, wanted) -> DataFrame:
+    """key, text, at, bits of every text with one of the wanted shingles; text is a hash of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, bits = wanted.value
+        for b in pieces(batches, 2):
+            hashes, offsets = words(pa.array([normal(t, False) for t in b.column(2).to_pylist()], pa.string()), unified=True)
+            text = span_hashes(hashes, offsets[:-1], offsets[1:])
+            once = np.zeros(len(text), bool)
+            once[np.unique(text, return_index=True)[1]] = True
+            row, sh = distinct_shingles(hashes, offsets)
+            held = sketches(row, sh, len(text))
+            hit = once[row] & is_asked(sh, size, bits)
+            row, sh = row[hit], sh[hit]
+            at = pa.array(row)
+            four = pa.FixedSizeListArray.from_arrays(pa.array(held[row].ravel()), 4).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), pa.array(text[row].view(np.int64)), *[b.column(c).take(at) for c in range(2)], four], names=["key", "text", "d", "n", "held"])
+
+    found = texts.select(*where(), "text").mapInArrow(run, "key long, text long, d long, n long, held array<long>")
+    return found.select("key", "text", F.struct("d", "n").alias("at2"), "held")
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs with text and whole, the texts at at and at2; only texts that a pair asks for are shuffled."""
+    spark = texts.sparkSession
+    both = pairs.select(F.explode(F.array("at", "at2")).alias("at")).distinct()
+    wanted = spark.sparkContext.broadcast(asked(both.select(F.xxhash64("at").alias("key"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(is_asked(np.asarray(b.column(0)).view(np.uint64), *wanted.value)))
+
+    t = texts.select(F.struct(*where()).alias("at"), "text").select(F.xxhash64("at").alias("key"), "at", "text")
+    t = t.mapInArrow(run, "key long, at struct<d:long,n:long>, text string").select("at", "text")
+    pairs = pairs.join(t, "at").select("tid", "ending", "text", F.col("at2").alias("at"))
+    return pairs.join(t.withColumnRenamed("text", "whole"), "at").select("tid", "ending", "text", "whole")
+
+
+def copied(pairs: DataFrame) -> DataFrame:
+    """tid of pairs (tid, ending, text, whole) of which whole is a near-copy that goes on."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -384,12 +459,52 @@ def aligned_cuts(texts: DataFrame, seen: DataFrame) -> DataFrame:
                 a, b = ha[oa[i] : oe[i]], hb[ob[i] : ob[i + 1]]
                 x, y = (np.unique(shingles(h, np.array([0, len(h)]))[0]) for h in (a, b))
                 near = len(x) > 0 and len(np.intersect1d(x, y, assume_unique=True)) >= SIMILARITY * len(x)
-                keep.append(bool(near) and ends_early(a.tolist(), b.tolist()) and (f.ending.iloc[i] == "open" or not lacks_only_a_stop(cut[i], whole[i])))
+                keep.append(bool(near) and ends_early(a.tolist(), b.tolist()) and goes_on(a, f.whole.iloc[i]) and (f.ending.iloc[i] == "open" or not lacks_only_a_stop(cut[i], whole[i])))
             yield f.loc[np.array(keep, bool), ["tid"]]
 
     return pairs.mapInPandas(run, "tid binary").distinct()
 
 
+def goes_on(cut: np.ndarray, text: str) -> bool:
+    """Whether a text that is a suspect itself goes on also without its last word, which may be broken, as that of cut is."""
+    if judge(text, "raw_response")[0] == "closed":
+        return True
+    hashes, _ = words(pa.array([normal(text, True)], pa.string()), unified=True)
+    b = hashes[:-1]
+    x, y = (np.unique(shingles(h, np.array([0, len(h)]))[0]) for h in (cut, b))
+    return len(np.intersect1d(x, y, assume_unique=True)) >= SIMILARITY * len(x) and ends_early(cut.tolist(), b.tolist())
+
+
+def by_shingles(texts: DataFrame, one: DataFrame, rest: DataFrame) -> DataFrame:
+    """tid, at, ending, at2 of all pairs of a suspect of rest with a text that may hold SIMILARITY of its shingles; one: all suspects, by which shingles are rare."""
+    n = F.size("grams")
+    spared = (n - F.ceil(n * F.lit(SIMILARITY))).alias("spared")
+    often = one.select(F.explode("grams").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    keys = rest.select("tid", spared, F.explode("grams").alias("key")).join(often, "key")
+    keys = keys.withColumn("rn", F.row_number().over(Window.partitionBy("tid").orderBy("c", "key"))).where("rn <= spared + 1").select("tid", "spared", "key")
+    keys = cut_lineage(keys.join(rest.select("tid", "at", "ending", "bits"), "tid"))
+    distinct = keys.select("key").distinct()
+    wanted = texts.sparkSession.sparkContext.broadcast(asked(distinct))
+    post = postings(texts, wanted).join(distinct, "key", "left_semi").groupBy("key", "text").agg(F.min(F.struct("at2", "held")).alias("p")).select("key", "p.*")
+    missing = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseAND(F.bitwise_not(F.get("held", F.lit(i))))) for i in range(4)), F.lit(0))
+    return keys.join(post, "key").where((F.col("at") != F.col("at2")) & (missing <= F.col("spared"))).select("tid", "at", "ending", "at2").distinct()
+
+
+def aligned_cuts(texts: DataFrame, seen: DataFrame) -> DataFrame:
+    """tid of suspects (rows of seen with a tid) that end early against a near-copy: by the neighbours in their buckets first, the rest by all texts that share shingles."""
+    one = seen.where("tid is not null").groupBy("tid").agg(F.min(F.struct(*where())).alias("at"), F.min("ending").alias("ending"), F.first(F.struct("own", "grams", "bits")).alias("x"))
+    one = cut_lineage(one.select("tid", "at", "ending", "x.*"))
+    mine = one.select("tid", "at", "ending", F.explode("own").alias("o")).select("tid", "at", "ending", "o.key", "o.tail")
+    # only buckets with a suspect matter; of texts that go on alike one stands for all
+    others = places(texts).join(mine.select("key").distinct(), "key", "left_semi").select("key", "tail", F.lit(False).alias("own"), "at")
+    rows = others.unionByName(mine.select("key", "tail", F.lit(True).alias("own"), "at")).groupBy("key", "tail").agg(F.max("own").alias("own"), F.min("at").alias("at"))
+    pairs = cut_lineage(mine.join(neighbours(rows), ["key", "tail"]).select("tid", "at", "ending", "at2").distinct())
+    near = cut_lineage(copied(with_texts(pairs, texts)))
+    rest = one.where(F.size("grams") > 0).join(near, "tid", "left_anti")
+    more = cut_lineage(by_shingles(texts, one, rest).join(pairs.select("tid", "at2"), ["tid", "at2"], "left_anti"))
+    return near.unionByName(copied(with_texts(more, texts)))
+
+
 def truncated(calls: DataFrame) -> DataFrame:
     """delivery_id, attempt, field, dataset, provider, evidence (copy, structure, closing) of every text that was cut.
 
@@ -399,7 +514,7 @@ def truncated(calls: DataFrame) -> DataFrame:
     seen = cut_lineage(read(texts))
     seen = seen.withColumn("word", F.substring_index("kind", " ", 1))
     errors = seen.where("field = 'api_error'")
-    open_ = seen.where("ending <> 'closed'").drop("own")
+    open_ = seen.where("ending <> 'closed'").drop("own", "grams", "bits")
     # only error messages have a kind; the others stay out of the join, where they would all meet under NULL
     told = open_.where("field = 'api_error'").join(stops(errors, "kind"), "kind", "left").join(stops(errors, "word"), "word", "left")
     prose = open_.where("field <> 'api_error'")

@@ -272,6 +272,33 @@ def test_deep_cuts_meet_their_originals(spark):
     assert got == {2: "copy", 4: "copy"}
 
 
+def test_copies_beyond_the_longest_windows(spark):
+    """A word changed within each of the suspect's longest windows, and other texts that begin like it: its copy is found all the same."""
+    text = [f"w{i}" for i in range(130)]
+    cut = [*text[:50], "other", *text[51:97], "another", *text[98:100], "br"]
+    like = [" ".join([*text[:40], *(f"v{j}x{i}" for i in range(80))]) + "." for j in range(9)]
+    short = [" ".join([*text[:33], *(f"u{i}" for i in range(70))]), " ".join(["x", *text[:40]])]  # too little in common; a copy from its second word on
+    got = {r.delivery_id: r.evidence for r in truncation.truncated(calls(spark, [[(1, t, None)] for t in [" ".join(text) + ".", *like, " ".join(cut), *short]])).collect()}
+    assert got == {10: "copy", 12: "copy"}
+
+
+def test_copies_against_all_pairs(spark):
+    """Copies are those that a plain comparison of every suspect with every text finds."""
+    r = random.Random(3)
+    base = [[f"w{r.randrange(60)}" for _ in range(r.randrange(20, 90))] for _ in range(8)]
+    texts = []
+    for _ in range(120):
+        t = list(r.choice(base))
+        for _ in range(r.randrange(4)):
+            t[r.randrange(len(t))] = f"x{r.randrange(99)}"
+        texts.append(" ".join(t[: r.randrange(12, len(t) + 1)]) + r.choice(["", "", "."]))
+    got = {x.delivery_id for x in truncation.truncated(calls(spark, [[(1, t, None)] for t in texts])).collect() if x.evidence == "copy"}
+    split = {t: (t.rstrip(".").split() if t.endswith(".") else t.split()[:-1]) for t in texts}
+    grams = lambda t: {tuple(split[t][i : i + 5]) for i in range(len(split[t]) - 4)}
+    want = {i for i, t in enumerate(texts) if not t.endswith(".") and len(split[t]) >= 8 and any(len(grams(t) & grams(u)) >= 0.8 * len(grams(t)) and truncation.ends_early(split[t], split[u]) and not truncation.lacks_only_a_stop(t, u) for u in texts)}
+    assert got == want and len(want) > 20
+
+
 def test_a_missing_stop_is_no_cut(spark):
     rows = [[(1, "the records of the old mill near the river name Rika Moss", None)], [(1, "the records of the old mill near the river name Rika Moss. It burnt down.", None)], [(1, "the records of the old mill near the river name Ri", None)]]
     assert {r.delivery_id for r in truncation.truncated(calls(spark, rows)).collect()} == {2}
