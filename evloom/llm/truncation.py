@@ -12,7 +12,8 @@ of that order. The pair is aligned word by word (longest common subsequence, bit
 neighbour, and whose alignment runs to its end before the neighbour's, was cut (copy), unless nothing but a stop is what it lacks.
 
 A suspect whose neighbours do not tell is held against all texts, exactly: of the n shingles of a suspect 0.8 n stand in its copy, so of any 0.2 n + 1 at
-least one does; the rarest are taken (as suspects have them), and texts that hold one of them and, by 256 bits of their shingles, may hold 0.8 of all are aligned.
+least one does; the rarest are taken (as suspects have them), and texts that hold one of them and, by 256 bits of their shingles, may hold 0.8 of all and, by 256 bits of
+their words, the suspect's last whole word before their end, are aligned.
 
 Suspects without such a copy are scored by terminality: JSON by its brackets, marks behind the end (structure); prose by its closing word, by how often, over all
 prose, that word ends a sentence: one that does nine tenths of the times closes the text, a lower-case one that next to never does leaves it cut, sentences before it
@@ -209,7 +210,7 @@ def distinct_shingles(hashes: np.ndarray, offsets: np.ndarray, without: int = 0)
 
 
 def sketches(row: np.ndarray, sh: np.ndarray, n: int) -> np.ndarray:
-    """n x 4 longs: 256 bits of the shingles of each text."""
+    """n x 4 longs: 256 bits of the shingles (or words) of each text."""
     held = np.zeros((n, 256), bool)
     held[row, ((sh >> np.uint64(8)) & np.uint64(255)).astype(np.int64)] = True
     return np.packbits(held, axis=1, bitorder="little").view(np.int64).reshape(n, 4)
@@ -220,7 +221,7 @@ _OWN = pa.list_(pa.struct([("key", pa.int64()), ("tail", pa.binary())]))
 
 
 def read(texts: DataFrame) -> DataFrame:
-    """texts without the text: its ending, the kind of an error message, the closing word of prose without stop and whether it begins in lower case; of suspects a hash of their words, their places in the buckets of their longest windows, and their shingles with their bits. One pass."""
+    """texts without the text: its ending, the kind of an error message, the closing word of prose without stop and whether it begins in lower case; of suspects a hash of their words, their places in the buckets of their longest windows, their shingles, and the bits of these with the bit of the last whole word. One pass."""
     names = [c.split()[0] for c in SEEN.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +248,7 @@ def read(texts: DataFrame) -> DataFrame:
             for k, i in enumerate(at):
                 if own[i]:
                     own[i], tid[i] = own[i][-OWN:], ids[k]
-                    grams[i], bits[i] = sh[ends[k] : ends[k + 1]].view(np.int64), held[k]
+                    grams[i], bits[i] = sh[ends[k] : ends[k + 1]].view(np.int64), [*held[k].tolist(), int(hashes[offsets[k + 1] - 2] >> np.uint64(8)) & 255]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array([h for h, _ in how], pa.string()), pa.array(kind, pa.string()), pa.array(last, pa.string()), pa.array(inner, pa.bool_()), pa.array(tid, pa.binary()), pa.array(own, _OWN), pa.array(grams, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=names)
 
     return texts.select(*names[:5], "text").mapInArrow(run, SEEN)
@@ -395,7 +396,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
 
 def asked(keys: DataFrame) -> tuple[int, np.ndarray]:
     """(log of the size, bits) of the upper bits of keys: what is not among the bits is no key. The size goes with the number of keys, up to 2^ASKED."""
-    size = min(ASKED, max(12, (16 * keys.count()).bit_length()))
+    size = min(ASKED, max(12, (64 * keys.count()).bit_length()))
     place = F.shiftrightunsigned("key", 64 - size)
     got = keys.select(F.shiftrightunsigned(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - size}) & 63 AS int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(1 << (size - 6), np.int64)
@@ -409,7 +410,7 @@ def is_asked(keys: np.ndarray, size: int, bits: np.ndarray) -> np.ndarray:
 
 
 def postings(texts: DataFrame, wanted) -> DataFrame:
-    """key, text, at, bits of every text with one of the wanted shingles; text is a hash of its words."""
+    """key, text, at2, held of every text with one of the wanted shingles; text is a hash of its words, held the bits of its shingles and of its words but the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, bits = wanted.value
@@ -419,12 +420,14 @@ def postings(texts: DataFrame, wanted) -> DataFrame:
             once = np.zeros(len(text), bool)
             once[np.unique(text, return_index=True)[1]] = True
             row, sh = distinct_shingles(hashes, offsets)
-            held = sketches(row, sh, len(text))
+            inner = np.ones(len(hashes), bool)
+            inner[offsets[1:][np.diff(offsets) > 0] - 1] = False
+            held = np.hstack([sketches(row, sh, len(text)), sketches(np.repeat(np.arange(len(text)), np.diff(offsets))[inner], hashes[inner], len(text))])
             hit = once[row] & is_asked(sh, size, bits)
             row, sh = row[hit], sh[hit]
             at = pa.array(row)
-            four = pa.FixedSizeListArray.from_arrays(pa.array(held[row].ravel()), 4).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), pa.array(text[row].view(np.int64)), *[b.column(c).take(at) for c in range(2)], four], names=["key", "text", "d", "n", "held"])
+            eight = pa.FixedSizeListArray.from_arrays(pa.array(held[row].ravel()), 8).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(sh.view(np.int64)), pa.array(text[row].view(np.int64)), *[b.column(c).take(at) for c in range(2)], eight], names=["key", "text", "d", "n", "held"])
 
     found = texts.select(*where(), "text").mapInArrow(run, "key long, text long, d long, n long, held array<long>")
     return found.select("key", "text", F.struct("d", "n").alias("at2"), "held")
@@ -447,24 +450,46 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def copied(pairs: DataFrame) -> DataFrame:
-    """tid of pairs (tid, ending, text, whole) of which whole is a near-copy that goes on."""
+    """tid of pairs (tid, ending, text, whole) of which whole is a near-copy that goes on. Each text of a batch is read once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            cut, whole = [normal(t, True) for t in f.text], [normal(t, False) for t in f.whole]
+            (of_a, texts), (of_b, wholes) = pd.factorize(f.text), pd.factorize(f.whole)
+            cut, whole = [normal(t, True) for t in texts], [normal(t, False) for t in wholes]
             (ha, oa), (hb, ob) = words(pa.array(cut, pa.string()), unified=True), words(pa.array(whole, pa.string()), unified=True)
             oe = np.maximum(oa[1:] - 1, oa[:-1])  # without the last word
-            keep = []
-            for i in range(len(f)):
-                a, b = ha[oa[i] : oe[i]], hb[ob[i] : ob[i + 1]]
-                x, y = (np.unique(shingles(h, np.array([0, len(h)]))[0]) for h in (a, b))
-                near = len(x) > 0 and len(np.intersect1d(x, y, assume_unique=True)) >= SIMILARITY * len(x)
-                keep.append(bool(near) and ends_early(a.tolist(), b.tolist()) and goes_on(a, f.whole.iloc[i]) and (f.ending.iloc[i] == "open" or not lacks_only_a_stop(cut[i], whole[i])))
-            yield f.loc[np.array(keep, bool), ["tid"]]
+            (ra, sa), (rb, sb) = distinct_shingles(ha, oa, 1), distinct_shingles(hb, ob)
+            near = contained(of_a, np.searchsorted(ra, np.arange(len(cut) + 1)), sa, of_b, rb, sb)
+            found: set = set()
+            for i in np.flatnonzero(near).tolist():
+                j, k, tid = of_a[i], of_b[i], f.tid.iloc[i]
+                if tid in found:
+                    continue
+                a, b = ha[oa[j] : oe[j]], hb[ob[k] : ob[k + 1]]
+                if (b[:-1] == a[-1]).any() and ends_early(a.tolist(), b.tolist()) and goes_on(a, wholes[k]) and (f.ending.iloc[i] == "open" or not lacks_only_a_stop(cut[j], whole[k])):
+                    found.add(tid)
+            yield pd.DataFrame({"tid": list(found)}, dtype=object)
 
     return pairs.mapInPandas(run, "tid binary").distinct()
 
 
+def contained(of_a: np.ndarray, ends: np.ndarray, sa: np.ndarray, of_b: np.ndarray, rb: np.ndarray, sb: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+    """Of pairs (of_a, of_b) of texts whether SIMILARITY of the first one's shingles stand in the second; so many shingles at once."""
+    there = np.sort(mixed(sb ^ mixed(rb.astype(np.uint64))))
+    size = np.diff(ends)[of_a]
+    out, sums, start = np.zeros(len(of_a), bool), np.cumsum(size), 0
+    while start < len(of_a) and len(there):
+        end = max(start + 1, int(np.searchsorted(sums, (sums[start - 1] if start else 0) + most, "right")))
+        n = size[start:end]
+        pair = np.repeat(np.arange(end - start), n)
+        at = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[:-1][of_a[start:end]], n)
+        asked_for = mixed(sa[at] ^ mixed(of_b[start:end][pair].astype(np.uint64)))
+        hit = there[np.minimum(np.searchsorted(there, asked_for), len(there) - 1)] == asked_for
+        out[start:end] = (n > 0) & (np.bincount(pair[hit], minlength=end - start) >= SIMILARITY * n)
+        start = end
+    return out
+
+
 def goes_on(cut: np.ndarray, text: str) -> bool:
     """Whether a text that is a suspect itself goes on also without its last word, which may be broken, as that of cut is."""
     if judge(text, "raw_response")[0] == "closed":
@@ -487,7 +512,9 @@ def by_shingles(texts: DataFrame, one: DataFrame, rest: DataFrame) -> DataFrame:
     wanted = texts.sparkSession.sparkContext.broadcast(asked(distinct))
     post = postings(texts, wanted).join(distinct, "key", "left_semi").groupBy("key", "text").agg(F.min(F.struct("at2", "held")).alias("p")).select("key", "p.*")
     missing = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseAND(F.bitwise_not(F.get("held", F.lit(i))))) for i in range(4)), F.lit(0))
-    return keys.join(post, "key").where((F.col("at") != F.col("at2")) & (missing <= F.col("spared"))).select("tid", "at", "ending", "at2").distinct()
+    # whatever aligns to its end has its last word in the other text, and something behind it
+    last = F.expr("shiftrightunsigned(get(held, cast(4 + shiftright(get(bits, 4), 6) AS int)), cast(get(bits, 4) & 63 AS int)) & 1L = 1L")
+    return keys.join(post, "key").where((F.col("at") != F.col("at2")) & (missing <= F.col("spared")) & last).select("tid", "at", "ending", "at2").distinct()
 
 
 def aligned_cuts(texts: DataFrame, seen: DataFrame) -> DataFrame:
