@@ -261,8 +261,9 @@ def decontaminate(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT doc_id, {normal_sql('text')} AS n FROM documents), a AS (SELECT DISTINCT {normal_sql('answer')} AS phrase FROM families WHERE {normal_sql('answer')} <> '')
 SELECT doc_id FROM t WHERE NOT EXISTS (SELECT 1 FROM a WHERE contains(' ' || n || ' ', ' ' || phrase || ' '))""")
 def decontaminated(spark: SparkSession, d: str) -> DataFrame:
-    """Documents without any such answer."""
-    return table(spark, d, "documents").select("doc_id").join(decontaminate(spark, d), "doc_id", "left_anti")
+    """Documents without any such answer. Told to merge as well: else AQE collects the hit documents at the driver and broadcasts them."""
+    hit = decontaminate(spark, d).select("doc_id").distinct()
+    return table(spark, d, "documents").select("doc_id").join(hit.hint("merge"), "doc_id", "left_anti")
 
 
 # selections ---------------------------------------------------------------------------------------------------------

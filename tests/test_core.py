@@ -167,6 +167,13 @@ def test_clean_documents_without_planned_broadcast(spark, sf):
     assert sorted(r.doc_id for r in df.collect()) == sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect() if r.doc_id not in hit)
 
 
+def test_hit_documents_are_not_broadcast_when_their_size_is_known(spark, sf):
+    df = record_queries.decontaminated(spark, sf)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan.partition("== Initial Plan ==")[0]
+
+
 # selections ---------------------------------------------------------------------------------------------------------
 
 
