@@ -10,7 +10,7 @@ from . import garbled, grouped, mixing, overlaps, responses, tokens, truncation,
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.truncated(table(spark, d, "calls")).select("delivery_id", "attempt", "field")
+    return truncation.cut_texts(table(spark, d, "calls")).select("delivery_id", "attempt", "field")
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:

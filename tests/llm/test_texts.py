@@ -3,10 +3,11 @@
 import random
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from evloom.llm import garbled, responses, truncation, unify, words
+from evloom.llm import garbled, queries, responses, truncation, unify, words
 
 CALLS = "delivery_id long, dataset string, provider string, attempts array<struct<attempt int, raw_response string, api_error string>>, text string, keys int, copy string, word string"
 
@@ -299,6 +300,32 @@ def test_copies_against_all_pairs(spark):
     assert got == want and len(want) > 20
 
 
+def test_only_suspects_without_a_sign_are_held_against_others(spark, tmp_path, monkeypatch):
+    """Whether a text was cut is the same with and without the evidence; what its JSON or its closing word tells needs no copy, and no pair."""
+    whole = [f'{{"a": "{" ".join(f"t{j}w{i}" for i in range(30))}", "b": "ends here."}}' for j in range(8)]
+    loose = "answer: " + " ".join(f"w{i}" for i in range(40))
+    rows = [[(1, t, None), (2, t[:-18], None), (3, t[:-24], None)] for t in whole] + [[(1, loose + " and so on.", None), (2, loose, None)], [(1, "answer: " + " ".join(f"v{i}" for i in range(40)), None)]]
+    calls(spark, rows).write.parquet(f"{tmp_path}/calls.parquet")
+    every = truncation.truncated(calls(spark, rows)).collect()
+    assert {r.evidence for r in every} == {"copy"} and len(every) == 17
+    pairs, copied = [], truncation.copied
+    monkeypatch.setattr(truncation, "copied", lambda p: pairs.append(p) or copied(p))
+    got = queries.p1_found(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((r.delivery_id, r.attempt, r.field) for r in every)
+    held = {bytes(r.tid) for p in pairs for r in p.select("tid").collect()}
+    assert len(held) == 1  # of 17 suspects with copies
+
+
+def test_frequencies_against_plain(spark):
+    r = random.Random(4)
+    key = lambda k: int(words.mixed(np.array([k], np.uint64)).view(np.int64)[0])
+    grams = [sorted({key(r.randrange(60)) for _ in range(20)}) for _ in range(50)] + [[], None]
+    asked = [key(k) for k in range(0, 90, 3)]
+    df = truncation.frequencies(spark.createDataFrame([(g,) for g in grams], "grams array<long>"), spark.createDataFrame([(k,) for k in asked], "key long"))
+    got = {x.key: x.c for x in df.collect()}
+    assert {k: got.get(k, 0) for k in asked} == {k: sum(k in (g or []) for g in grams) for k in asked}
+
+
 def test_a_missing_stop_is_no_cut(spark):
     rows = [[(1, "the records of the old mill near the river name Rika Moss", None)], [(1, "the records of the old mill near the river name Rika Moss. It burnt down.", None)], [(1, "the records of the old mill near the river name Ri", None)]]
     assert {r.delivery_id for r in truncation.truncated(calls(spark, rows)).collect()} == {2}
